@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkweft.llm import q_leakage, q_neardup, q_normal, q_pages, q_repetition, q_splitting, q_terms
+from inkweft.llm import q_leakage, q_mixing, q_neardup, q_normal, q_pages, q_repetition, q_splitting, q_terms
 
-MODULES = [q_terms, q_neardup, q_normal, q_pages, q_splitting, q_leakage, q_repetition]
+MODULES = [q_terms, q_neardup, q_normal, q_pages, q_splitting, q_leakage, q_mixing, q_repetition]
 
 
 def queries():

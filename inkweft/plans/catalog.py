@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkweft.plans import references
+from inkweft.plans import references, retrieval
 
-MODULES = [references]
+MODULES = [retrieval, references]
 
 
 def queries():

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkweft.plans import references, retrieval
+from inkweft.plans import base_queries, references, retrieval
 
-MODULES = [retrieval, references]
+MODULES = [retrieval, base_queries, references]
 
 
 def queries():

@@ -1,0 +1,100 @@
+import json
+import os
+
+from pyspark.sql import functions as F
+
+from inkweft import sql as own_sql
+from inkweft.base import Base
+from inkweft.config import Settings
+from inkweft.sources import scan, sinks
+from inkweft.streaming.ingest import ingest_stream, windowed_counts
+
+
+def page(pid, title, body):
+    return f'<html><head><meta name="ajs-page-id" content="{pid}"><title>{title}</title></head><body><div id="main-content"><h1>{title}</h1>{body}</div></body></html>'
+
+
+def drop(base, name, text):
+    with open(f"{base.path}/originals/{name}", "w", encoding="utf-8") as f:
+        f.write(text)
+
+
+def test_sync_search_verify(spark, tmp_path):
+    base = Base.create(spark, str(tmp_path / "kb"), ("en",), ("wiki.site.example",))
+    drop(base, "expenses.html", page(1001, "Expense reports", '<p>Receipts are needed within 14 days. See <a href="https://wiki.site.example/x?pageId=1002">travel</a>.</p>'))
+    drop(base, "travel.html", page(1002, "Travel rules", "<p>Hotels above the limit need approval of the manager.</p>"))
+    drop(base, "copy.html", page(1002, "Travel rules", "<p>Hotels above the limit need approval of the manager.</p>"))
+    first = {r.name: (r.outcome, r.detail) for r in base.sync().collect()}
+    assert first["expenses.html"] == ("written", "expense-reports.md") and "travel.html" not in first  # equal content: the first by name
+    docs = {r.name: r.body for r in base.documents().collect()}
+    assert "[travel](travel-rules.md)" in docs["expense-reports.md"]
+    assert base.sync().count() == 0
+    drop(base, "expenses.html", page(1001, "Expense reports", "<p>Receipts are needed within 30 days.</p>"))
+    assert [(r.name, r.outcome) for r in base.sync().collect()] == [("expenses.html", "written")]
+    assert base.spark.read.parquet(f"{base.path}/history").count() >= 1
+    hits = base.search(spark.createDataFrame([(1, "hotel approval")], "qid int, question string"))
+    assert hits.where("rank = 1").first().name == "travel-rules.md"
+    assert base.outline("travel").where("heading = 'Travel rules'").count() == 1 and base.read("travel-rules.md", 1, 2).count() == 2
+    cards = spark.createDataFrame([("t", "c", 'source_id: "1001"\nReceipts within 30 days'), ("t", "o", "nothing")], "topic string, card string, text string")
+    rows = {(r.card, r.claim): r.confirmed for r in base.verify(cards).collect()}
+    assert rows["c", "30 days"] is True and rows["o", None] is None
+    assert {r.item: r.n for r in base.status().collect()}["documents"] == 2
+    assert Base.open(spark, f"{base.path}/originals").path == base.path and Base.open(spark, "/") is None
+
+
+def test_stream_takes_in_only_what_changed(spark, tmp_path):
+    drop_folder, out, ck = (str(tmp_path / x) for x in ("drop", "docs", "ck"))
+    os.makedirs(drop_folder)
+    for i, text in enumerate(("# A\n\none", "# B\n\ntwo")):
+        with open(f"{drop_folder}/f{i}.md", "w") as f:
+            f.write(text)
+    ingest_stream(spark, drop_folder, out, ck).awaitTermination()
+    with open(f"{drop_folder}/f2.md", "w") as f:
+        f.write("# C\n\nthree")
+    ingest_stream(spark, drop_folder, out, ck).awaitTermination()
+    assert sorted(r.title for r in sinks.latest(spark, out).collect()) == ["A", "B", "C"] and spark.read.parquet(out).count() == 3
+
+
+def test_windows(spark):
+    rows = spark.sql("select timestamp'2024-01-01 00:10:00' ts, 'a' event_type, 1.5D value union all select timestamp'2024-01-01 00:50:00', 'a', 2D union all select timestamp'2024-01-01 01:00:00', 'a', 1D")
+    assert [(r.n, r.total) for r in windowed_counts(rows).orderBy("window_start").collect()] == [(2, 3.5), (1, 1.0)]
+
+
+def test_sql_functions(spark):
+    own_sql.register(spark, Settings(languages=("en",)))
+    own_sql.register_tables(spark, {"t_docs": spark.createDataFrame([("The refunds **are** [paid](x)",)], "x string")})
+    r = spark.sql("select stems(x) s, flat_text(x) f, clean_markup(x) c, slug_of('A b!') g, number_forms('1,5') n from t_docs").first()
+    assert r.s == ["refund", "paid"] and r.f == "therefundsarepaid" and r.c == "The refunds are paid" and r.g == "a-b" and sorted(r.n) == ["1,5", "1.5", "15"]
+
+
+def test_scans_and_sinks(spark, tmp_path):
+    root = str(tmp_path)
+    for p, text in (("text/a.md", "x"), ("text/_skip.md", "x"), ("assets/a/descriptions.md", "pic"), ("cards/topic/card one.md", "c"), ("drop/A.html", "same"), ("drop/b.html", "same"), ("drop/README.md", "keep"), ("lang/xx.json", '{"stopwords": "a b"}'), ("lang/bad.json", "{")):
+        os.makedirs(os.path.dirname(f"{root}/{p}"), exist_ok=True)
+        with open(f"{root}/{p}", "w") as f:
+            f.write(text)
+    assert sorted(r.name for r in scan.scan_corpus(spark, root).collect()) == ["a.md", "assets/a/descriptions.md"]
+    assert [(r.topic, r.text) for r in scan.scan_cards(spark, root).collect()] == [("topic", "c")]
+    files = scan.scan_files(spark, f"{root}/drop")
+    assert [r.name for r in scan.collect_dropped(files, files.where("false")).collect()] == ["A.html"]
+    assert scan.language_files(f"{root}/lang") == {"xx": {"stopwords": ["a", "b"], "transliterate": {}}}
+    with open(f"{root}/ok.json", "w") as f:
+        json.dump([{"question": "q", "extra": 1}], f)
+    with open(f"{root}/broken.json", "w") as f:
+        f.write("{nope")
+    assert scan.read_json(spark, f"{root}/ok.json", "question string").first().question == "q"
+    assert scan.read_json(spark, f"{root}/broken.json", "question string").count() == 0 and scan.read_json(spark, f"{root}/none.json", "question string").count() == 0
+    assert sinks.read_snapshot(spark, f"{root}/snap") is None
+    for n in (1, 2):
+        sinks.write_snapshot(spark.range(n), f"{root}/snap")
+    assert sinks.read_snapshot(spark, f"{root}/snap").count() == 2
+
+
+def test_every_registered_query_runs(spark):
+    import __spark_entry__ as entry
+
+    names = [n for n in entry.queries() if not n.startswith("p")]
+    assert len(names) > 50 and set(entry.oracle_sql()) <= set(entry.queries())
+    for n in ("token_counts", "resolved_by_key", "history_changes", "p6_found"):
+        assert entry.queries()[n](spark, "/root/testdata/sf0.001").count() >= 0
+    assert entry.entry(spark).count() > 0

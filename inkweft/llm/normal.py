@@ -79,6 +79,11 @@ def plain_table() -> dict[str, str]:
             table[parts] = c
             if len(parts) == 3:  # an already composed first pair with one more accent
                 table[unicodedata.normalize("NFC", parts[:2]) + parts[2]] = c
+                swapped = parts[0] + parts[2] + parts[1]
+                if unicodedata.normalize("NFC", swapped) == c:  # accents of different places may come in either order
+                    table[swapped] = c
+                    if len(first := unicodedata.normalize("NFC", swapped[:2])) == 1:
+                        table[first + parts[1]] = c
     return table
 
 
@@ -99,20 +104,25 @@ class Transducer:
         check_table(table)
         self.table = table
         singles = "".join(re.escape(k) for k in table if len(k) == 1)
-        heads = "".join(re.escape(c) for c in sorted({k[0] for k in table if len(k) > 1}))
+        first = {k[0] for k in table if len(k) > 1}
+        heads = "".join(re.escape(c) for c in sorted(first | {k for k, v in table.items() if len(k) == 1 and v[-1:] in first}))
+        gone = "".join(re.escape(k) for k, v in table.items() if len(k) == 1 and not v)
         # Pictures joined or styled by invisible characters are one cluster and stay as they are.
         keep = "[☀-➿\U0001f000-\U0001faff][️\U0001f3fb-\U0001f3ff]?(?:‍[☀-➿\U0001f000-\U0001faff][️\U0001f3fb-\U0001f3ff]?)*"
-        self.pattern = re.compile(f"[{heads}][{_MARKS}]+|[{singles}]|{keep}")
+        self.pattern = re.compile(f"[{heads}][{gone}]*[{_MARKS}][{_MARKS}{gone}]*|[{singles}]|(?P<keep>{keep})" if gone else f"[{heads}][{_MARKS}]+|[{singles}]|(?P<keep>{keep})")
 
     def _run(self, m: re.Match) -> str:
         cluster, table = m.group(), self.table
         out = table.get(cluster)
-        if out is not None or len(cluster) == 1:
+        if out is not None or len(cluster) == 1 or m.lastgroup:
             return cluster if out is None else out
-        for n in range(len(cluster) - 1, 1, -1):  # the longest part of the cluster that has a form
-            if cluster[:n] in table:
-                return table[cluster[:n]] + cluster[n:]
-        return cluster
+        base = table.get(cluster[0], cluster[0])
+        marks = "".join(c for c in cluster[1:] if table.get(c, c))
+        lead, text = base[:-1], base[-1:] + marks
+        for n in range(len(text), 1, -1):  # the longest part of the cluster that has a form
+            if text[:n] in table:
+                return lead + table[text[:n]] + text[n:]
+        return lead + text
 
     def __call__(self, text: str) -> str:
         return self.pattern.sub(self._run, text)
@@ -142,7 +152,16 @@ def _script(word: str, line: str) -> str:
 
 
 def normal_form(text: str) -> str:
-    """The consistent form of a text."""
+    """The consistent form of a text.
+
+    A rewritten word may say more about the script of its line, so a changed text is looked at again until it stays.
+    """
+    while (new := _once(text)) != text:
+        text = new
+    return text
+
+
+def _once(text: str) -> str:
     if text.isascii():
         return text
     plain, to_latin, to_cyrillic, odd, others, mixed, word, alike = _compiled()
@@ -184,7 +203,9 @@ def normal_form(text: str) -> str:
                 return w.translate(to_latin)
             return w.translate(to_cyrillic) if _GRK.search(w) and cyrillic else w
 
-        out.append(word.sub(rewrite, line))
+        new = word.sub(rewrite, line)
+        # A letter that changed its script may now compose with the accent behind it.
+        out.append(plain(new) if new != line and not odd.isdisjoint(new) else new)
     return "\n".join(out)
 
 

@@ -124,7 +124,7 @@ def repeated_words(flat: np.ndarray, offsets: np.ndarray, run: int = RUN) -> np.
         again[order[1:][(h[order[1:]] == h[order[:-1]]) & (own[order[1:]] == own[order[:-1]])]] = True
     covered = np.zeros(len(flat), dtype=bool)
     for j in range(run):
-        covered[j:] |= again[: len(flat) - j]
+        covered[j:] |= again[: max(len(flat) - j, 0)]
     return np.bincount(own[covered], minlength=len(offsets) - 1)
 
 

@@ -4,7 +4,7 @@ The possible cuts of a text are the beginnings of its white space: after a parag
 word.  A sparse table over the strengths of these boundaries gives the strongest one of any window in two
 lookups, the rightmost if several are as strong.  For each piece the window is the permissible second half of
 the limit; if it holds no boundary, the first half is asked; if that holds none either, the overlap is given up
-and the whole window asked again; only a stretch longer than the limit is cut inside.  The next piece begins
+and the whole window asked again; only a stretch longer than the limit is cut inside, and keeps its overlap.  The next piece begins
 at the first word within the overlap behind the cut.
 
 All texts of a slice are cut in step: one sparse table over the slice and one round of lookups for each piece
@@ -96,9 +96,10 @@ def cut_slice(texts: list[str], limits: list[int], overlaps: list[int]) -> tuple
             miss = np.flatnonzero(got < 0)
             got[miss] = strongest(np.maximum(c[miss], s[miss]) + 1, s[miss] + m[miss] // 2)
             miss = np.flatnonzero(got < 0)
-            if len(miss):  # give up the overlap
-                s[miss] = skip(np.maximum(c[miss], s[miss]))
-                got[miss] = strongest(s[miss] + 1, s[miss] + m[miss])
+            if len(miss):  # give up the overlap, unless that helps nothing
+                bare = skip(np.maximum(c[miss], s[miss]))
+                got[miss] = strongest(bare + 1, bare + m[miss])
+                s[miss] = np.where((got[miss] >= 0) | (bare + m[miss] >= top[long][miss]), bare, s[miss])
             where = np.where(got >= 0, begin[got] if len(begin) else 0, s + m)
             what = np.where(got >= 0, strength[got] if len(begin) else 0, 0)
             ends = s + m >= top[long]  # without the overlap the rest fits

@@ -63,7 +63,7 @@ def grams(flat: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np
     with np.errstate(over="ignore"):
         for j in range(k):
             part = np.zeros(n, dtype=np.uint64)
-            part[: n - j] = flat[j:]
+            part[: max(n - j, 0)] = flat[j:]
             h = h * _B + part
         h = mix(h)
     return h, whole

@@ -98,8 +98,8 @@ def leaked(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_i
     d = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(doc_text).alias("_text")).where("_id is not null and _text is not null")
     t = items.select(F.col(item_id).cast("bigint").alias("_item"), F.col(item_text).alias("_passage")).where("_item is not null and _passage is not null")
     marks = durable(fingerprints(t, "_item", "_passage").withColumnRenamed("_id", "_item").distinct())
-    pairs = fingerprints(d, "_id", "_text").join(small(marks, row_bytes=24), "hash").select("_id", "_item").distinct()
-    both = pairs.join(d, "_id").join(small(t, row_bytes=4096), "_item")
+    pairs = fingerprints(d, "_id", "_text").join(small(marks), "hash").select("_id", "_item").distinct()
+    both = pairs.join(d, "_id").join(small(t), "_item")
 
     def extend(batch: pa.RecordBatch) -> pa.Table:
         doc, item, text, passage = (batch.column(i).to_pylist() for i in range(4))

@@ -116,7 +116,7 @@ def place_tokens(tokens: DataFrame) -> DataFrame:
     sums = rows.groupBy("source", "bucket").agg(F.sum("n").alias("_sum"))
     before = sums.select("source", "bucket", F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     within = Window.partitionBy("source", "bucket").orderBy("order", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("_run", F.sum("n").over(within)).join(small(before, row_bytes=40), ["source", "bucket"]).select("_id", "source", "tokens", "n", (F.col("_before") + F.col("_run") - F.col("n")).alias("start"))
+    return rows.withColumn("_run", F.sum("n").over(within)).join(small(before), ["source", "bucket"]).select("_id", "source", "tokens", "n", (F.col("_before") + F.col("_run") - F.col("n")).alias("start"))
 
 
 def _slots(spark: SparkSession, plan: list[dict], seed: int) -> DataFrame:
@@ -156,7 +156,7 @@ def mix_sources(docs: DataFrame, id_col: str, text_col: str, source_col: str, ta
     wanted = [(r.source, float(r.target_share), r.max_repeats) for r in goal.orderBy("source").collect()]  # a table of settings: one row for each source
     if len(wanted) > 100_000:
         raise ValueError("too many target sources for a table of settings")
-    tokens = durable(tokenise(docs, id_col, text_col, source_col, ranks).join(small(goal.select("source"), row_bytes=64), "source", "left_semi"))
+    tokens = durable(tokenise(docs, id_col, text_col, source_col, ranks).join(small(goal.select("source")), "source", "left_semi"))
     available = {r.source: int(r.n) for r in tokens.groupBy("source").agg(F.sum(F.size("tokens")).alias("n")).collect()}
     plan = quotas(available, wanted, block, total_tokens)
     slots = _slots(spark, plan, seed)
@@ -171,9 +171,9 @@ def mix_sources(docs: DataFrame, id_col: str, text_col: str, source_col: str, ta
     stated = spark.createDataFrame([(r["source"], r["target"], r["tokens"], r["passes"]) for r in plan], schema)
     # What the shares came to, from the slots and the length of their blocks.
     length = F.least(F.lit(block).cast("bigint"), F.col("available_tokens") - F.col("block") * block)
-    used = slots.join(small(stated.select("source", "available_tokens"), row_bytes=48), "source").groupBy("source").agg(F.sum(length).alias("mix_tokens"), (F.max("pass") + 1).cast("int").alias("passes"))
+    used = slots.join(small(stated.select("source", "available_tokens")), "source").groupBy("source").agg(F.sum(length).alias("mix_tokens"), (F.max("pass") + 1).cast("int").alias("passes"))
     total = Window.partitionBy(F.lit(1))
-    shares = stated.join(small(used, row_bytes=48), "source", "left").select(
+    shares = stated.join(small(used), "source", "left").select(
         "source", "target_share", "available_tokens", F.coalesce("mix_tokens", F.lit(0)).cast("bigint").alias("mix_tokens"),
         F.round(F.coalesce("mix_tokens", F.lit(0)) / F.sum("mix_tokens").over(total), 6).alias("actual_share"), "max_passes", F.coalesce("passes", F.lit(0)).alias("passes"),
     )

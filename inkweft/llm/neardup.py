@@ -314,8 +314,8 @@ def similar_sets(members: DataFrame, df: DataFrame, id_col: str, text_col: str,
         runs = shingle_sets(batch.column(1).to_pylist(), hasher, run, least)
         return pa.table({"set_key": pa.array(keys, pa.int64()), "runs": pa.array([None if r is None else r.tobytes() for r in runs], pa.binary())})
 
-    runs = arrow_rows(text.join(small(needed, row_bytes=32), "_id").select("set_key", "_text"), make, "set_key bigint, runs binary").where("runs is not null")
-    if not fits(needed, row_bytes=32):
+    runs = arrow_rows(text.join(small(needed), "_id").select("set_key", "_text"), make, "set_key bigint, runs binary").where("runs is not null")
+    if not fits(needed):
         runs = durable(runs)
     both = pairs.join(runs.select(F.col("set_key").alias("a"), F.col("runs").alias("ra")), "a").join(runs.select(F.col("set_key").alias("b"), F.col("runs").alias("rb")), "b")
 

@@ -45,7 +45,7 @@ def term_scores(df: DataFrame, id_col: str, body_col: str, head_col: str | None
     terms = durable(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
     observed = F.log2(F.lit(float(n)) / F.col("df"))
     expected = -F.log2(1 - F.exp(-F.col("cf") / F.lit(float(max(n, 1)))))
-    scored = rows.join(small(terms, row_bytes=48), "term")
+    scored = rows.join(small(terms), "term")
     weight = F.log(1 + F.lit(float(n)) / F.col("df")) * F.when(F.col("in_head"), 2.0).otherwise(1.0)
     return scored.withColumn("ridf", F.round(observed - expected, 9)).withColumn("score", F.round(F.col("tf") * (observed - expected), 9)).withColumn("weight", F.round(weight, 9))
 

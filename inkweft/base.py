@@ -15,6 +15,7 @@ from inkweft.operators import history as H
 from inkweft.operators import links as L
 from inkweft.operators import quality as Q
 from inkweft.operators import search as S
+from inkweft.operators import selftest as ST
 from inkweft.operators import verify as V
 from inkweft.operators.index import Index, build_index, load_index, save_index
 from inkweft.operators.sections import document_titles, outline, read_section
@@ -179,3 +180,24 @@ class Base:
         asked = cases.withColumn("qid", F.xxhash64("question", "file"))
         hits = S.search(asked.select("qid", "question"), index, self.settings)
         return E.evaluate(asked.select("qid", "marker", "file"), hits, index.texts)
+
+    def selftest(self, questions: DataFrame, facts: DataFrame | None = None, cards: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(outcomes, anchors): ``question, outcome`` of ``question, answer ARRAY<STRING>, absent``, and whether each of the
+        facts (``fact, document``) stands where it is said to."""
+        index, docs = self.index(), self.documents()
+        asked = questions.withColumn("qid", F.xxhash64("question"))
+        hits = durable(S.search(asked.select("qid", "question"), index, self.settings))
+        d = S.doubts(asked.select("qid", "question"), hits, index, self.settings)
+        doubted = d.select("qid", (F.col("no_hits") | F.col("off_title") | F.col("weak") | F.col("close_race")).alias("doubted"))
+        none = self.spark.createDataFrame([], "text string")
+        places = ST.answer_places(asked, hits, index.texts, cards if cards is not None else none, docs)
+        rows = places.join(doubted, "qid").join(asked.select("qid", F.coalesce("absent", F.lit(False)).alias("absent")), "qid")
+        told = facts if facts is not None else self.spark.createDataFrame([], "fact string, document string")
+        return ST.outcomes(rows).select("question", "outcome"), ST.anchors(told, docs)
+
+    def find(self, question: str, limit: int | None = None) -> DataFrame:
+        """``rank, score, name, line_no, shown`` for one question."""
+        index = self.index()
+        hits = S.search(self.spark.createDataFrame([(1, question)], "qid int, question string"), index, self.settings, limit)
+        shown = S.shown_fragments(hits, index.texts, self.settings)
+        return shown.join(hits.select("qid", "rank", "score"), ["qid", "rank"]).select("rank", "score", "name", "line_no", "shown").orderBy("rank")

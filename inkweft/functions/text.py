@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkweft.functions.language import number_words
 
+# What a word, a line break, a fence and a heading are.
 WORD = r"[\p{L}\p{N}_'’]+"
 #: Characters cut from both ends of a word before it is shortened.
 EDGES = "«»\"'.,:;!?()[]–—-"

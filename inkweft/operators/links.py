@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkweft.functions import text as T
 from inkweft.runtime import small
 
+# A markdown link that is no picture.
 LINK = r"(?<!!)\[([^\]]*)\]\(([^)\s]+)\)"
 # Extensions that name a document.
 SUFFIXES = ["md", "markdown", "rst", "txt", "text", "html", "htm", "pdf", "doc", "docx"]
@@ -153,4 +154,4 @@ def shipped_pictures(refs: DataFrame, attachments: DataFrame) -> DataFrame:
     one = attachments.groupBy("member").agg(F.min("member").alias("_by_path"))
     two = attachments.groupBy(base(F.col("path")).alias("_base")).agg(F.min("member").alias("_by_name"))
     own = refs.select("src").distinct().withColumn("_flat", flat(F.col("src"))).withColumn("_base", base(T.url_decode(F.regexp_replace("src", "[?#].*$", ""))))
-    return own.join(small(one.withColumnRenamed("member", "_flat"), 128), "_flat", "left").join(small(two, 128), "_base", "left").select("src", F.coalesce("_by_path", "_by_name").alias("member"))
+    return own.join(small(one.withColumnRenamed("member", "_flat")), "_flat", "left").join(small(two), "_base", "left").select("src", F.coalesce("_by_path", "_by_name").alias("member"))

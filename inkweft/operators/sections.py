@@ -12,6 +12,7 @@ from inkweft.config import Settings
 from inkweft.functions import text as T
 from inkweft.runtime import arrow_rows
 
+# Sentence ends and headings.
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+|(?=[•▪✅❌⛔⚠])")
 _HEADING = re.compile(r"^(#{1,6})\s+(.*)$")
 _LINKED = re.compile(r"\[([^\]]*)\]\([^)]*\)")

@@ -52,6 +52,23 @@ def anchors(facts: DataFrame, docs: DataFrame) -> DataFrame:
     return named.unionByName(free)
 
 
+def answer_places(questions: DataFrame, hits: DataFrame, texts: DataFrame, cards: DataFrame, docs: DataFrame) -> DataFrame:
+    """``question, n_answers, in_hits, in_cards, in_base``: where any of a question's answers stands, all flattened.
+
+    questions: ``qid, question, answer ARRAY``; hits: as the search gives them; cards: ``text``; docs: ``name, body``.
+    """
+    own = questions.select("qid", "question", F.coalesce("answer", F.array().cast("array<string>")).alias("answer"))
+    each = own.select("qid", F.explode("answer").alias("_a")).select("qid", T.flat(F.col("_a")).alias("_a")).where("_a <> ''")
+    shown = hits.join(texts, ["name", "seq"]).select("qid", T.flat(F.col("body")).alias("_t"))
+    found = lambda df, name: df.groupBy("qid").agg(F.lit(True).alias(name))
+    in_hits = found(each.join(shown, "qid").where(F.contains("_t", F.col("_a"))), "in_hits")
+    # Answers are few and written by hand; cards and documents are read once with all of them.
+    in_cards = found(each.join(cards.select(T.flat(F.col("text")).alias("_t")), F.contains(F.col("_t"), F.col("_a"))), "in_cards")
+    in_base = found(each.join(docs.select(T.flat(F.col("body")).alias("_t")), F.contains(F.col("_t"), F.col("_a"))), "in_base")
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return own.join(in_hits, "qid", "left").join(in_cards, "qid", "left").join(in_base, "qid", "left").select("qid", "question", F.size("answer").alias("n_answers"), no("in_hits"), no("in_cards"), no("in_base"))
+
+
 def outcomes(questions: DataFrame) -> DataFrame:
     """Add ``outcome`` to ``question, absent, n_answers, in_hits, in_cards, in_base, doubted``.
 

@@ -13,6 +13,7 @@ from inkweft.functions import text as T
 from inkweft.functions.language import number_words
 from inkweft.runtime import arrow_rows
 
+# Patterns of pointers, numbers with units, quotations, and the width of a number's surroundings.
 POINTER = r"`?(?:[\w./-]+\.md(?::\d+)?|(?<![\w]):\d+)(?:`?\s*[–-]\s*`?:?\d+)?`?"
 NUMBER = r"(?<![\p{L}\p{N}_.])(\d{1,3}(?:[  ]\d{3})+(?!\d)(?:[.,]\d+)?|\d+(?:[.,]\d+)?)(?U:\s)*(%|[A-Za-z]{2,12})?"
 QUOTE = r"`([^`\n]{4,80})`|«([^»\n]{4,80})»|\"([^\"\n]{4,80})\""

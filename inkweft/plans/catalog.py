@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from inkweft.plans import base_queries, references, retrieval
+from inkweft.plans import base_queries, conversion, references, retrieval
 
-MODULES = [retrieval, base_queries, references]
+MODULES = [retrieval, base_queries, conversion, references]
 
 
 def queries():

@@ -11,6 +11,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, BinaryType, StringType, StructField
 
 #: Rows and bytes up to which a side may be broadcast; a side beyond either is shuffled instead.
 BROADCAST_ROWS = 400_000
@@ -34,15 +35,32 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fits(df: DataFrame, row_bytes: int = 64, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has few enough rows to be broadcast.  The count stops at the bound."""
-    most = min(rows, BROADCAST_BYTES // max(1, row_bytes))
-    return df.limit(most + 1).count() <= most
+def _measure(field: StructField) -> Column:
+    """Bytes of a value, measured where its type has no fixed size."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(field.dataType, AtomicType):
+        return F.lit(8)
+    return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
 
 
-def small(df: DataFrame, row_bytes: int = 64, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if its checked size allows it, else for a sort-merge join."""
-    return F.broadcast(df) if fits(df, row_bytes, rows) else df.hint("merge")
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int | None = None) -> bool:
+    """Whether ``df`` is within the bounds of rows and bytes.
+
+    The rows are counted and their values measured; the scan stops one row beyond the bound.
+    """
+    size = BROADCAST_BYTES if size is None else size
+    each = F.lit(16)
+    for field in df.schema.fields:
+        each = each + _measure(field)
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    return n <= rows and total <= size
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if its measured size allows it, else for a sort-merge join."""
+    return F.broadcast(df) if fits(df, rows) else df.hint("merge")
 
 
 _shipped: set[str] = set()

@@ -38,6 +38,11 @@ def test_sync_search_verify(spark, tmp_path):
     cards = spark.createDataFrame([("t", "c", 'source_id: "1001"\nReceipts within 30 days'), ("t", "o", "nothing")], "topic string, card string, text string")
     rows = {(r.card, r.claim): r.confirmed for r in base.verify(cards).collect()}
     assert rows["c", "30 days"] is True and rows["o", None] is None
+    asked = spark.createDataFrame([("who approves hotels above the limit", ["approval of the manager"], False), ("what of zeppelins", None, True)], "question string, answer array<string>, absent boolean")
+    facts = spark.createDataFrame([("hotels above the limit", "travel-rules.md"), ("never said", None)], "fact string, document string")
+    out, held = base.selftest(asked, facts)
+    assert {r.question[:3]: r.outcome for r in out.collect()} == {"who": "search", "wha": "honest"} and sorted(r.held for r in held.collect()) == [False, True]
+    assert base.find("hotel approval").first().name == "travel-rules.md"
     assert {r.item: r.n for r in base.status().collect()}["documents"] == 2
     assert Base.open(spark, f"{base.path}/originals").path == base.path and Base.open(spark, "/") is None
 

@@ -98,11 +98,13 @@ def free_names(wanted: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     if taken is None:
         n = F.row_number().over(Window.partitionBy("slug").orderBy("id")) - 1
         return own.select("id", "slug", F.concat("slug", F.when(n > 0, F.concat(F.lit("-"), n)).otherwise(""), F.lit(".md")).alias("name"))
-    held = taken.select("name", F.col("id").alias("_owner"), F.regexp_replace("name", r"(?:-\d+)?\.md$", "").alias("_a"), F.regexp_replace("name", r"\.md$", "").alias("_b"))
-    keeps = own.join(held, (F.col("id") == F.col("_owner")) & ((F.col("slug") == F.col("_a")) | (F.col("slug") == F.col("_b")))).groupBy("id", "slug").agg(F.min("name").alias("name"))
+    # An existing file stands for the slug in its name, with and without a trailing number.
+    bare, cut = F.regexp_replace("name", r"\.md$", ""), F.regexp_replace("name", r"(?:-\d+)?\.md$", "")
+    held = taken.select("name", F.col("id").alias("_owner"), F.explode(F.array_distinct(F.array(bare, cut))).alias("slug"))
+    keeps = own.join(held, "slug").where(F.col("id") == F.col("_owner")).groupBy("id", "slug").agg(F.min("name").alias("name"))
     new = own.join(keeps, ["id", "slug"], "left_anti")
     number = lambda c: F.coalesce(F.regexp_extract(c, r"-(\d+)\.md$", 1).try_cast("int"), F.lit(0))
-    busy = new.select("slug").distinct().join(held, (F.col("slug") == F.col("_a")) | (F.col("slug") == F.col("_b"))).groupBy("slug").agg(F.array_sort(F.collect_set(F.when(F.concat("slug", F.lit(".md")) == F.col("name"), 0).otherwise(number(F.col("name"))))).alias("_busy"))
+    busy = held.join(new.select("slug").distinct(), "slug", "left_semi").groupBy("slug").agg(F.array_sort(F.collect_set(F.when(F.concat("slug", F.lit(".md")) == F.col("name"), 0).otherwise(number(F.col("name"))))).alias("_busy"))
     place = F.row_number().over(Window.partitionBy("slug").orderBy("id"))
     rows = new.withColumn("_k", place).join(busy, "slug", "left").withColumn("_busy", F.coalesce("_busy", F.array().cast("array<int>")))
     open_ = F.filter(F.sequence(F.lit(0), F.col("_k") + F.size("_busy")), lambda i: ~F.array_contains("_busy", i))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweft.functions import text as T
+from inkweft.runtime import durable, small
 
 PIECE = 6
 
@@ -48,7 +49,8 @@ def anchors(facts: DataFrame, docs: DataFrame) -> DataFrame:
     named = own.where("document is not null").join(said, F.col("document") == F.col("name"), "left").groupBy("fact", "document").agg(F.max(F.coalesce(F.contains("_said", F.col("_f")), F.lit(False))).alias("held"))
     # Facts are few and written by hand; documents are read once with all of them.
     anywhere = own.where("document is null").select("fact", "document", "_f")
-    free = anywhere.join(said, F.contains(F.col("_said"), F.col("_f")), "left").groupBy("fact", "document").agg(F.max(F.col("name").isNotNull()).alias("held"))
+    found = said.join(small(anywhere), F.contains(F.col("_said"), F.col("_f"))).select("fact").distinct().withColumn("_held", F.lit(True))
+    free = anywhere.select("fact", "document").distinct().join(found, "fact", "left").select("fact", "document", F.coalesce("_held", F.lit(False)).alias("held"))
     return named.unionByName(free)
 
 
@@ -63,8 +65,9 @@ def answer_places(questions: DataFrame, hits: DataFrame, texts: DataFrame, cards
     found = lambda df, name: df.groupBy("qid").agg(F.lit(True).alias(name))
     in_hits = found(each.join(shown, "qid").where(F.contains("_t", F.col("_a"))), "in_hits")
     # Answers are few and written by hand; cards and documents are read once with all of them.
-    in_cards = found(each.join(cards.select(T.flat(F.col("text")).alias("_t")), F.contains(F.col("_t"), F.col("_a"))), "in_cards")
-    in_base = found(each.join(docs.select(T.flat(F.col("body")).alias("_t")), F.contains(F.col("_t"), F.col("_a"))), "in_base")
+    asked = small(durable(each))
+    in_cards = found(cards.select(T.flat(F.col("text")).alias("_t")).join(asked, F.contains(F.col("_t"), F.col("_a"))), "in_cards")
+    in_base = found(docs.select(T.flat(F.col("body")).alias("_t")).join(asked, F.contains(F.col("_t"), F.col("_a"))), "in_base")
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     return own.join(in_hits, "qid", "left").join(in_cards, "qid", "left").join(in_base, "qid", "left").select("qid", "question", F.size("answer").alias("n_answers"), no("in_hits"), no("in_cards"), no("in_base"))
 

@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 
 from inkweft.runtime import arrow_rows
 
-_INVISIBLE = "­͏؜ᅟᅠ឴឵᠎​-‏‪-‮⁠-⁤⁦-⁯ㅤ︀-️﻿ﾠ\U000e0001-\U000e007f\U000e0100-\U000e01ef"
-_BLANKS = "   -   　"
-_LINES = "  \u0085"
-_MARKS = "̀-ͯ"
+_INVISIBLE = "\u00ad\u034f\u061cᅟᅠ\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206fㅤ\ufe00-\ufe0f\ufeffﾠ\U000e0001-\U000e007f\U000e0100-\U000e01ef"
+_BLANKS = "\u00a0\u1680\u2000-\u200a\u202f\u205f\u3000"
+_LINES = "\u2028\u2029\u0085"
+_MARKS = "\u0300-\u036f"
 
 #: Letters with the same look. Each string's letters correspond by position.
 _CYRILLIC = "АВСЕНІЈКМОРЅТХУасеіјорѕхуԁԛԝһ"
@@ -108,7 +108,7 @@ class Transducer:
         heads = "".join(re.escape(c) for c in sorted(first | {k for k, v in table.items() if len(k) == 1 and v[-1:] in first}))
         gone = "".join(re.escape(k) for k, v in table.items() if len(k) == 1 and not v)
         # Pictures joined or styled by invisible characters are one cluster and stay as they are.
-        keep = "[☀-➿\U0001f000-\U0001faff][️\U0001f3fb-\U0001f3ff]?(?:‍[☀-➿\U0001f000-\U0001faff][️\U0001f3fb-\U0001f3ff]?)*"
+        keep = "[☀-➿\U0001f000-\U0001faff][\ufe0f\U0001f3fb-\U0001f3ff]?(?:\u200d[☀-➿\U0001f000-\U0001faff][\ufe0f\U0001f3fb-\U0001f3ff]?)*"
         self.pattern = re.compile(f"[{heads}][{gone}]*[{_MARKS}][{_MARKS}{gone}]*|[{singles}]|(?P<keep>{keep})" if gone else f"[{heads}][{_MARKS}]+|[{singles}]|(?P<keep>{keep})")
 
     def _run(self, m: re.Match) -> str:

@@ -42,7 +42,7 @@ def _class_table() -> np.ndarray:
             return 2
         if cat[0] == "N":
             return 3
-        if c in "\n\r  ":
+        if c in "\n\r\u2028\u2029":
             return 5
         if cat[0] == "Z" or c == "\t":
             return 4

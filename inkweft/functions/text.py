@@ -15,7 +15,7 @@ WORD = r"[\p{L}\p{N}_'’]+"
 #: Characters cut from both ends of a word before it is shortened.
 EDGES = "«»\"'.,:;!?()[]–—-"
 #: Line breaks of every kind.
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 FENCE = r"^\s*(?:```|~~~)"
 HEADING = r"^(#{1,6})\s+(.*)$"
 

@@ -10,7 +10,7 @@ _ABSOLUTE = r"^(?i:https?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 def plain_id(value: Column) -> Column:
     """An id without surrounding blanks, tabs and quote marks."""
-    edge = "[\\\\s\"'` ‘’‚“”„«»]+"
+    edge = "[\\\\s\"'`\u00a0‘’‚“”„«»]+"
     edge = edge.replace("\\\\", "\\")
     return F.regexp_replace(value, f"^{edge}|{edge}$", "")
 

@@ -125,7 +125,7 @@ def relink(docs: DataFrame, resolved: DataFrame, name: str = "name", text: str =
     new = F.when(F.col("self"), F.col("label")).otherwise(F.concat(F.lit("["), "label", F.lit("]("), "target", F.when(hint != "", F.concat(F.lit(' "'), hint, F.lit('"'))).otherwise(""), F.lit(")")))
     swaps = resolved.where("target is not null or self").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("pos", new.alias("new")))).alias("swaps"))
     # The text with a mark in place of each link gives the pieces between links.
-    mark = ""
+    mark = "\ue000"
     rows = docs.select(F.col(name).alias("name"), F.col(text).alias("body")).join(swaps, "name", "left")
     between = F.split(F.regexp_replace("body", LINK, mark), mark)
     whole = F.regexp_extract_all("body", F.lit(f"({LINK})"), F.lit(1))

@@ -21,7 +21,7 @@ def p6_by_period(spark, sf_dir):
     return _orphans(spark, sf_dir).groupBy("ref_table", "field", "period").agg(kind("missing"), kind("deleted"), kind("late"), F.count("*").cast("bigint").alias("n_dangling"))
 
 
-_EDGE = "[\\s\"''` ‘’‚“”„«»]+"
+_EDGE = "[\\s\"''`\u00a0‘’‚“”„«»]+"
 _ID = lambda c: f"regexp_replace(regexp_replace({c}, '^{_EDGE}', ''), '{_EDGE}$', '')"
 _ABS = "^(?i:https?)://([^/?#]*)([^?#]*)(?:\\?([^#]*))?"
 

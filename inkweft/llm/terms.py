@@ -21,28 +21,40 @@ from pyspark.sql import functions as F
 from inkweft.runtime import durable, small
 
 
-def postings(df: DataFrame, id_col: str, body_col: str, head_col: str | None = None) -> DataFrame:
-    """``_id, term, tf, in_head``: each record's distinct terms, each record taken once.
-
-    Rows that repeat an id are one record (the least row, so the choice never depends on order); rows whose id
-    is null are one record too.  Null arrays and null terms count as absent; empty terms are terms.
-    """
+def _records(df: DataFrame, id_col: str, body_col: str, head_col: str | None) -> DataFrame:
+    """``_id, _r(b, h)``: each record once; rows that repeat an id are one record, the least row, so that the choice
+    never depends on order.  Null arrays count as empty."""
     words = lambda c: F.coalesce(F.col(c).cast("array<string>"), F.array().cast("array<string>")) if c else F.array().cast("array<string>")
-    records = df.select(F.col(id_col).alias("_id"), F.struct(words(body_col).alias("b"), words(head_col).alias("h")).alias("_r"))
-    records = records.groupBy("_id").agg(F.min("_r").alias("_r"))
+    return df.select(F.col(id_col).alias("_id"), F.struct(words(body_col).alias("b"), words(head_col).alias("h")).alias("_r")).groupBy("_id").agg(F.min("_r").alias("_r"))
+
+
+def postings(records: DataFrame) -> DataFrame:
+    """``_id, term, tf, in_head``: each record's distinct terms.  Null terms count as absent; empty terms are terms."""
     marked = lambda c, head: F.transform(F.col(f"_r.{c}"), lambda w: F.struct(w.alias("term"), F.lit(head).alias("head")))
     rows = records.select("_id", F.explode(F.concat(marked("b", False), marked("h", True))).alias("w")).where("w.term is not null")
     return rows.groupBy("_id", F.col("w.term").alias("term")).agg(F.count("*").alias("tf"), F.bool_or("w.head").alias("in_head"))
 
 
+def term_statistics(records: DataFrame) -> DataFrame:
+    """``term, df, cf``: records that hold a term and its occurrences, summed up before the shuffle; no row for each
+    record and term is ever grouped."""
+    every = F.concat("_r.b", "_r.h")
+    once = F.transform(F.array_distinct(every), lambda w: F.struct(w.alias("term"), F.lit(1).alias("first")))
+    each = F.transform(every, lambda w: F.struct(w.alias("term"), F.lit(0).alias("first")))
+    rows = records.select(F.explode(F.concat(once, each)).alias("w")).where("w.term is not null")
+    return rows.groupBy(F.col("w.term").alias("term")).agg(F.sum("w.first").alias("df"), F.count_if(F.col("w.first") == 0).alias("cf"))
+
+
 def term_scores(df: DataFrame, id_col: str, body_col: str, head_col: str | None = None) -> DataFrame:
     """``_id, term, tf, in_head, df, cf, ridf, score, weight`` for every term of every record.
 
-    N counts all records, those without terms too.  A table without records gives no rows.
+    N counts all records, those without terms too; rows with a null id are one record.  A table without records
+    gives no rows.
     """
     n = df.select(id_col).distinct().count()
-    rows = postings(df, id_col, body_col, head_col)
-    terms = durable(rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
+    records = _records(df, id_col, body_col, head_col)
+    rows = postings(records)
+    terms = durable(term_statistics(records))
     observed = F.log2(F.lit(float(n)) / F.col("df"))
     expected = -F.log2(1 - F.exp(-F.col("cf") / F.lit(float(max(n, 1)))))
     scored = rows.join(small(terms), "term")

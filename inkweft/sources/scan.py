@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import unicodedata
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,13 @@ from pyspark.sql import functions as F
 from inkweft.functions import text as T
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-#: Names that stay where they are though they look like documents.
-KEEP = ["readme.md", "claude.md", "agents.md", "license", "license.md", "license.txt", "requirements.txt", "changelog.md", "contributing.md"]
+# Names that stay in the base's folder though they look like documents.
+KEEP = [
+    "claude.md", "claude.local.md", "agents.md", "gemini.md", "copilot.md",
+    "readme", "readme.md", "readme.txt", "readme.rst",
+    "license", "license.md", "license.txt", "changelog.md", "contributing.md",
+    "requirements.txt",
+]
 
 
 def file_name(path="path"):
@@ -28,7 +34,7 @@ def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def collect_dropped(dropped: DataFrame, originals: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Dropped document files to take in: not on the list of kept names, not equal in content to an original, of
     equal ones the first by name, and of one slug and extension the latest (a page exported again)."""
-    kept = [k.lower() for k in [*KEEP, *(keep or [])]]
+    kept = [*KEEP, *(unicodedata.normalize(form, k).lower() for k in keep or [] for form in ("NFC", "NFD"))]
     own = dropped.where(~F.lower("name").isin(kept)).join(originals.select("sha1"), "sha1", "left_anti")
     one = own.groupBy("sha1").agg(F.min("name").alias("name"))
     own = own.join(one, ["sha1", "name"], "left_semi")

@@ -4,19 +4,22 @@ A text is the set of its word runs; texts with the same set are one set with sev
 Each set has minwise tokens (one for each of ``T`` hash functions).  Every tree starts with all sets in its
 root.  A node draws one position of the signature, a second one with some chance, and passes each of its sets
 to the children named by the set's tokens there.  Draws depend only on the node's own key, so trees are
-independent and any worker can walk a path by itself.  Nodes of up to ``LIMIT`` sets are compared exhaustively;
-larger ones branch on.  A bit sketch of the signature screens the pairs of a node, the exact similarity of the
-word runs decides.
+independent and any worker can walk a path by itself.  Nodes of up to ``LIMIT`` sets are compared exhaustively.
+A larger one is compared in blocks at once if its sets are so alike that branching saves no work; else it branches
+on by ``HEAVY`` draws, with which a similar pair stays together on some path however many levels follow.  The
+number of trees follows from the levels and the recall ``TARGET`` at the threshold.  A bit sketch of the signature
+screens the pairs of a node, the exact similarity of the word runs decides.
 
 Where it runs: a walk of several levels is one pass without shuffle.  Its depth comes from how often two sets
 share a token, measured over all sets.  Then one shuffle brings the nodes together; they are read as a sorted
 stream, so a node is never held beyond ``LIMIT`` sets.  A node that holds a large share of all sets is found
-beforehand by counts within batches and walks on before the shuffle.  Nodes that stay large to the end (dense
-groups) are compared in blocks spread over tasks, so no pair is given up.
+beforehand by counts within batches and, unless dense, walks on before the shuffle.  Dense nodes and those that
+stay large to the end are compared in blocks spread over tasks, so no pair is given up.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +35,10 @@ T, TREES, SECOND, LIMIT = 128, 16, 0.25, 64
 #: Sketches of T bits agree in (1 + s) / 2 of them on average; this many fewer are let through (over three deviations).
 SLACK = 14
 ROUNDS, BLOCK = 5, 256
+#: Recall at the threshold for which trees are added to the least number TREES; draws of a node above LIMIT.
+TARGET, HEAVY = 0.996, 3
+#: Share of agreeing tokens from which HEAVY draws save (almost) no comparisons; levels that all sets walk at most.
+DENSE, DEEPEST, PROBES = 0.25, 6, 8
 _SEED = np.uint64(0x5851F42D4C957F2D)
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -64,30 +71,51 @@ def shingle_sets(texts: list[str | None], hasher: WordHasher, run: int, least: i
     return out
 
 
-def branch(own: np.ndarray, node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One level: the children to which each set of each node goes."""
+def met(depth: int, heavy: int, s: float) -> float:
+    """The chance that a pair of similarity ``s`` stays together in one tree over ``depth`` levels and ``heavy`` more
+    levels of large nodes."""
+    q = 1.0
+    for _ in range(heavy):
+        q = 1 - (1 - s * q) ** HEAVY
+    for _ in range(depth):
+        q = (1 - SECOND) * s * q + SECOND * (1 - (1 - s * q) ** 2)
+    return q
+
+
+def tree_count(depth: int, threshold: float) -> int:
+    """Trees with which a pair at the threshold is found with the chance TARGET on the longest path."""
+    q = met(depth, 2 * ROUNDS, threshold)
+    return TREES if q >= 1 else max(TREES, math.ceil(math.log(1 - TARGET) / math.log(1 - q)))
+
+
+def branch(own: np.ndarray, node: np.ndarray, sig: np.ndarray, large: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """One level: the children to which each set of each node goes; large nodes draw HEAVY different positions."""
     with np.errstate(over="ignore"):
         draw = mix(node * _K1 + _K2)
         first = (draw & np.uint64(T - 1)).astype(np.int64)
         second = ((draw >> np.uint64(8)) & np.uint64(T - 1)).astype(np.int64)
         more = (draw >> np.uint64(40)) < np.uint64(int(SECOND * (1 << 24)))
         more &= first != second
+        every = np.arange(len(own))
 
         def child(rows, at):
             return mix(node[rows] * _K2 + mix(at.astype(np.uint64) * _K1 + sig[own[rows], at].astype(np.uint64)))
 
-        every, some = np.arange(len(own)), np.flatnonzero(more)
+        if large:  # an odd step goes round all positions before it repeats one
+            step = ((draw >> np.uint64(16)) & np.uint64(T - 1)).astype(np.int64) | 1
+            return np.tile(own, HEAVY), np.concatenate([child(every, (first + k * step) % T) for k in range(HEAVY)])
+        some = np.flatnonzero(more)
         return np.concatenate([own, own[some]]), np.concatenate([child(every, first), child(some, second[some])])
 
 
-def _roots() -> np.ndarray:
+def _roots(trees: int = TREES) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix(np.arange(1, TREES + 1, dtype=np.uint64) * _K2 + _SEED)
+        return mix(np.arange(1, trees + 1, dtype=np.uint64) * _K2 + _SEED)
 
 
-def walk(sig: np.ndarray, depth: int, hot: np.ndarray, deepest: int) -> tuple[np.ndarray, np.ndarray]:
+def walk(sig: np.ndarray, depth: int, hot: np.ndarray, deepest: int, trees: int = TREES) -> tuple[np.ndarray, np.ndarray]:
     """All (set, node) rows at ``depth``; rows of a hot node go on, down to ``deepest``."""
-    own, node = np.repeat(np.arange(len(sig)), TREES), np.tile(_roots(), len(sig))
+    own, node = np.repeat(np.arange(len(sig)), trees), np.tile(_roots(trees), len(sig))
     for _ in range(depth):
         own, node = branch(own, node, sig)
     level = depth
@@ -97,7 +125,7 @@ def walk(sig: np.ndarray, depth: int, hot: np.ndarray, deepest: int) -> tuple[np
         if not warm.any():
             break
         done.append((own[~warm], node[~warm]))
-        own, node = branch(own[warm], node[warm], sig)
+        own, node = branch(own[warm], node[warm], sig, large=True)
         level += 1
     done.append((own, node))
     return np.concatenate([o for o, _ in done]), np.concatenate([x for _, x in done])
@@ -142,24 +170,45 @@ def _depth(sets: DataFrame, n: int) -> int:
     while size * share > LIMIT / 3 and depth < 24:
         size *= share
         depth += 1
-    return min(depth, 12)
+    return min(depth, DEEPEST if share < DENSE else DEEPEST // 2)
+
 
+def _thin(sets: DataFrame, new: np.ndarray, go) -> np.ndarray:
+    """Those of the nodes ``new`` that aren't dense, by the pairs within batches; ``go`` walks to their level."""
 
-def _hot_nodes(sets: DataFrame, depth: int, n: int, deepest: int) -> np.ndarray:
-    """Keys of nodes with at least a fiftieth of all sets: at most 50 for each tree and level, whatever the input."""
+    def count(batch: pa.RecordBatch) -> pa.Table:
+        _, sig = _read(batch)
+        own, node = go(sig)
+        nodes, same, every = [], [], []
+        for key in new:
+            part = sig[own[node == key]][:, :: T // PROBES]
+            c = np.concatenate([np.unique(part[:, i], return_counts=True)[1] for i in range(PROBES)]).astype(np.float64)
+            nodes.append(key)
+            same.append(float((c * (c - 1)).sum()))
+            every.append(float(PROBES * len(part) * (len(part) - 1)))
+        return pa.table({"node": pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), "same": pa.array(same), "every": pa.array(every)})
+
+    found = arrow_rows(sets.select("set_key", "sig"), count, "node bigint, same double, every double").groupBy("node").agg(F.sum("same").alias("same"), F.sum("every").alias("every")).where(F.col("same") < DENSE * F.col("every")).select("node").collect()
+    return np.array([r.node for r in found], dtype=np.int64).view(np.uint64)
+
+
+def _hot_nodes(sets: DataFrame, depth: int, n: int, deepest: int, trees: int) -> np.ndarray:
+    """Keys of nodes with at least a fiftieth of all sets that aren't dense; their number has a bound whatever the input."""
     hot = np.zeros(0, dtype=np.uint64)
     for level in range(depth, deepest):
         known = hot
 
         def count(batch: pa.RecordBatch, known=known, level=level) -> pa.Table:
             _, sig = _read(batch)
-            _, node = walk(sig, depth, known, level)
+            _, node = walk(sig, depth, known, level, trees)
             keys, c = np.unique(node, return_counts=True)
             often = c >= max(2, len(sig) // 100)
             return pa.table({"node": pa.array(keys[often].view(np.int64), pa.int64()), "n": pa.array(c[often], pa.int64())})
 
         found = arrow_rows(sets.select("set_key", "sig"), count, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= max(LIMIT + 1, n // 50)).select("node").collect()
         new = np.setdiff1d(np.array([r.node for r in found], dtype=np.int64).view(np.uint64), hot)
+        if len(new):
+            new = _thin(sets, new, lambda sig, known=known, level=level: walk(sig, depth, known, level, trees))
         if not len(new):
             break
         hot = np.union1d(hot, new)
@@ -230,10 +279,10 @@ def _leaf_pairs(frontier: DataFrame, bits: int) -> DataFrame:
     return frontier.repartition("node").sortWithinPartitions("node").mapInArrow(run, "kind tinyint, a bigint, b bigint")
 
 
-def _frontier(sets: DataFrame, depth: int, hot: np.ndarray, deepest: int) -> DataFrame:
+def _frontier(sets: DataFrame, depth: int, hot: np.ndarray, deepest: int, trees: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.Table:
         keys, sig = _read(batch)
-        own, node = walk(sig, depth, hot, deepest)
+        own, node = walk(sig, depth, hot, deepest, trees)
         s = _sketch(sig)
         return pa.table({"node": pa.array(node.view(np.int64)), "set_key": pa.array(keys[own]), "s1": pa.array(s[own, 0]), "s2": pa.array(s[own, 1])})
 
@@ -246,7 +295,7 @@ def _deeper(rows: DataFrame, sets: DataFrame, blocks: bool) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.Table:
         keys, sig = _read(batch)
         node = batch.column("node").to_numpy().view(np.uint64)
-        own, node = branch(np.arange(len(keys)), node, sig)
+        own, node = branch(np.arange(len(keys)), node, sig, large=True)
         s = _sketch(sig)
         return pa.table({"node": pa.array(node.view(np.int64)), "set_key": pa.array(keys[own]), "s1": pa.array(s[own, 0]), "s2": pa.array(s[own, 1])})
 
@@ -260,24 +309,36 @@ def _deeper(rows: DataFrame, sets: DataFrame, blocks: bool) -> DataFrame:
     return spread.select(F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "set_key").distinct()
 
 
+def _dense(heavy: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, dense``: of each large node whether its sets are too alike for branching."""
+    at = [F.struct(F.lit(i).alias("i"), F.substring("sig", 2 * i + 1, 2).alias("v")) for i in range(0, T, T // PROBES)]
+    tokens = heavy.join(sets.select(F.col("set_key").alias("b"), F.array(*at).alias("at")), "b").select("a", F.explode("at").alias("x"))
+    c, n = F.col("count").cast("double"), F.col("n") / PROBES
+    return tokens.groupBy("a", "x").count().groupBy("a").agg(F.sum(c * (c - 1)).alias("same"), F.sum(c).alias("n")).select("a", (F.col("same") >= DENSE * PROBES * n * (n - 1)).alias("dense"))
+
+
 def candidate_pairs(sets: DataFrame, n: int, threshold: float = THRESHOLD) -> DataFrame:
     """Distinct pairs (a < b) of set keys that meet in a node and pass the sketch."""
     bits = max(0, int(T * (1 + threshold) / 2) - SLACK)
     depth = _depth(sets, n)
     deepest = depth + ROUNDS
-    hot = _hot_nodes(sets, depth, n, deepest)
-    found, step = [], durable(_leaf_pairs(_frontier(sets, depth, hot, deepest), bits))
+    trees = tree_count(depth, threshold)
+    hot = _hot_nodes(sets, depth, n, deepest, trees)
+    found, whole, step = [], [], durable(_leaf_pairs(_frontier(sets, depth, hot, deepest, trees), bits))
     for k in range(ROUNDS + 1):
         found.append(step.where("kind = 0").select("a", "b"))
         heavy = step.where("kind = 1").select("a", "b").distinct()
         if not heavy.limit(1).count():
             break
         if k == ROUNDS:
-            # What stays together to the end is compared in full, block by block.
-            own = _deeper(heavy, sets, blocks=True)
-            found.append(_blocks(own, sets, bits))
+            whole.append(heavy)
             break
-        step = durable(_leaf_pairs(_deeper(heavy, sets, blocks=False), bits))
+        told = durable(_dense(heavy, sets))
+        if told.where("dense").limit(1).count():
+            whole.append(heavy.join(told.where("dense"), "a", "left_semi"))
+        step = durable(_leaf_pairs(_deeper(heavy.join(told.where("not dense"), "a", "left_semi"), sets, blocks=False), bits))
+    # What is dense or stays together to the end is compared in full, block by block.
+    found += [_blocks(_deeper(rows, sets, blocks=True), sets, bits) for rows in whole]
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)

@@ -102,3 +102,22 @@ def test_hot_nodes_walk_on(depth):
     hot = np.unique(node)[:1]
     own2, node2 = N.walk(sig, depth, hot, depth + 1)
     assert not np.isin(node2, hot).any() and len(node2) >= len(node)
+
+
+def test_a_dense_group_near_the_threshold_is_found_whole(spark):
+    """Different texts that are all about as similar as the threshold part on no short path."""
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(400):
+        t = list(base)
+        for at in r.sample(range(300), 12):
+            t[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(t)))
+    got, want = pairs(spark, rows), brute(rows)
+    assert len(want) > 20_000 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_trees_reach_the_target_on_the_longest_path():
+    for depth in range(1, N.DEEPEST + 1):
+        assert 1 - (1 - N.met(depth, 2 * N.ROUNDS, 0.6)) ** N.tree_count(depth, 0.6) >= N.TARGET

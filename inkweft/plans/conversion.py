@@ -44,6 +44,20 @@ def layout_pages(spark, sf_dir):
     return Y.page_blocks(placed).select("doc", F.col("pos").cast("bigint"), F.length("block").cast("bigint").alias("n_chars"))
 
 
+#: Measures of the pages of layout_whole: words of a line, lines of a column, columns of a page.
+_SLOTS, _ROWS, _COLUMNS = 3, 50, 2
+
+
+def layout_whole(spark, sf_dir):
+    """Documents with all their words set in pages of two columns: the blocks come out page by page, column by column."""
+    words = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.posexplode(T.tokens(F.col("text"))).alias("k", "text"))
+    line = F.floor(F.col("k") / _SLOTS)
+    column, row, slot = F.floor(line / _ROWS), line % _ROWS, F.col("k") % _SLOTS
+    x, top = F.lit(50.0) + column % _COLUMNS * 400.0 + slot * 110.0, F.lit(100.0) + row * 12.0
+    placed = words.select("doc", (F.floor(column / _COLUMNS) + 1).cast("int").alias("page"), "text", x.alias("x0"), (x + 100.0).alias("x1"), top.alias("top"), (top + 10.0).alias("bottom"), F.lit(10.0).alias("size"), F.lit("Body").alias("fontname"), F.lit(None).cast("string").alias("uri"))
+    return Y.page_blocks(placed).select("doc", F.col("page").cast("bigint"), F.col("pos").cast("bigint"), F.length("block").cast("bigint").alias("n_chars"))
+
+
 def body_sizes(spark, sf_dir):
     words = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("doc"), (F.col("l_quantity") / 4).alias("size"))
     return Y.body_size(words)
@@ -69,7 +83,7 @@ def translated_slugs(spark, sf_dir):
     return d.select("doc_no", Q.slug(Q.transliterate(d, F.col("t")), F.col("t")).alias("slug"))
 
 
-QUERIES = {f.__name__: f for f in (html_pages, html_markdown, layout_pages, body_sizes, repeated_headings, structural_parts, identifiers, translated_slugs)}
+QUERIES = {f.__name__: f for f in (html_pages, html_markdown, layout_pages, layout_whole, body_sizes, repeated_headings, structural_parts, identifiers, translated_slugs)}
 _TOK = "regexp_extract_all(text, '[\\p{L}\\p{N}_''’]+')"
 SQL = {
     "html_pages": """

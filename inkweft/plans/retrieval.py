@@ -27,10 +27,15 @@ def fragment_index(spark, sf_dir) -> Index:
     return index_fragments(own, titles)
 
 
-def benchmark_tokens(spark, sf_dir):
+def _asked(spark, sf_dir):
+    """The benchmark's items in two parts, each with its settings."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), "lang")
-    en, other = asked.where("lang = 'en'"), asked.where("lang is null or lang <> 'en'")
-    return S.question_tokens(en, ENGLISH).unionByName(S.question_tokens(other, FOUR))
+    return [(asked.where("lang = 'en'"), ENGLISH), (asked.where("lang is null or lang <> 'en'"), FOUR)]
+
+
+def benchmark_tokens(spark, sf_dir):
+    en, other = (S.question_tokens(q, settings) for q, settings in _asked(spark, sf_dir))
+    return en.unionByName(other)
 
 
 def search_benchmark(spark, sf_dir):
@@ -62,16 +67,22 @@ def unknown_words(spark, sf_dir):
     return S.unknown_words(asked, fragment_index(spark, sf_dir), ENGLISH).select(F.col("qid").alias("item_id"), F.col("pos").cast("bigint"), "word")
 
 
+def unknown_words_whole(spark, sf_dir):
+    """The unknown words of every benchmark item in whatever language; `unknown_words` has those of the English items."""
+    asked, index = _asked(spark, sf_dir), fragment_index(spark, sf_dir)
+    found = [S.unknown_words(q, index, settings) for q, settings in asked]
+    return found[0].unionByName(found[1]).select(F.col("qid").alias("item_id"), F.col("pos").cast("bigint"), "word")
+
+
 def closest_documents(spark, sf_dir):
     hits = S.search_tokens(benchmark_tokens(spark, sf_dir), fragment_index(spark, sf_dir), FOUR)
     return S.closest_documents(hits).select(F.col("qid").alias("item_id"), "place", "name")
 
 
 def doubt_flags(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").where("lang = 'en'").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     index = fragment_index(spark, sf_dir)
-    hits = S.search(asked, index, ENGLISH)
-    return S.doubts(asked, hits, index, ENGLISH).withColumnRenamed("qid", "item_id")
+    found = [S.doubts(q, S.search(q, index, settings), index, settings) for q, settings in _asked(spark, sf_dir)]
+    return found[0].unionByName(found[1]).withColumnRenamed("qid", "item_id")
 
 
 def passage_windows(spark, sf_dir):
@@ -164,7 +175,7 @@ _CLEAN = lambda x: f"regexp_replace(regexp_replace({x}, '\\[([^\\]]*)\\]\\([^)]*
 
 QUERIES = {
     "search_benchmark": search_benchmark, "search_scores": search_scores, "token_counts": token_counts, "doc_stems": doc_stems, "idf_terms": idf_terms,
-    "unknown_words": unknown_words, "closest_documents": closest_documents, "doubt_flags": doubt_flags, "passage_windows": passage_windows, "passages_found": passages_found,
+    "unknown_words": unknown_words, "unknown_words_whole": unknown_words_whole, "closest_documents": closest_documents, "doubt_flags": doubt_flags, "passage_windows": passage_windows, "passages_found": passages_found,
     "budgeted_fragments": budgeted_fragments, "stride_sample": stride_sample, "fragment_spans": fragment_spans, "sentence_counts": sentence_counts, "chunks": chunks,
     "outline_sections": outline_sections, "titles": titles, "generated_cases": generated_cases, "eval_topk": eval_topk, "spelled_numbers": spelled_numbers, "number_forms": number_forms,
 }

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import html
+import re
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from inkweft.functions import text as T
 from inkweft.operators import layout as Y
 from inkweft.operators import quality as Q
-from inkweft.runtime import table
+from inkweft.runtime import arrow_rows, table
 from inkweft.sources.convert import convert_files
 
 
@@ -26,13 +30,82 @@ def _pages(spark, sf_dir):
     return d.select(F.concat(F.col("name"), F.lit(".html")).alias("name"), html.cast("binary").alias("content"))
 
 
+_ITEM = re.compile(r"^(\s*)(?:[-*+•]|(\d+)[.)])\s+(.*)$")
+_MARK = re.compile(r"\[([^\]]*)\]\(([^)\s]*)\)|\*\*(.+?)\*\*|`([^`]+)`")
+
+
+def _inline(text: str) -> str:
+    def one(m: re.Match) -> str:
+        label, url, bold, code = (html.escape(x) if x is not None else None for x in m.groups())
+        return f'<a href="{url}">{label}</a>' if url is not None else f"<b>{bold}</b>" if bold is not None else f"<code>{code}</code>"
+
+    out, end = [], 0
+    for m in _MARK.finditer(text):
+        out += [html.escape(text[end : m.start()]), one(m)]
+        end = m.end()
+    return "".join([*out, html.escape(text[end:])])
+
+
+def body_html(body: str) -> str:
+    """A markdown body as HTML: headings, tables, nested lists, fenced code and paragraphs; no line is left out."""
+    out, lines, i = [], body.split("\n"), 0
+    while i < len(lines):
+        line, j = lines[i], i + 1
+        if fence := re.match(r"\s*(```|~~~)", line):
+            while j < len(lines) and not lines[j].lstrip().startswith(fence.group(1)):
+                j += 1
+            out.append("<pre>" + html.escape("\n".join(lines[i + 1 : j])) + "</pre>")
+            j += 1
+        elif head := re.match(r"(#{1,6})\s+(.*)$", line):
+            out.append(f"<h{len(head.group(1))}>{_inline(head.group(2))}</h{len(head.group(1))}>")
+        elif line.lstrip().startswith("|"):
+            while j < len(lines) and lines[j].lstrip().startswith("|"):
+                j += 1
+            rows = [[c.strip() for c in x.strip().strip("|").split("|")] for x in lines[i:j]]
+            out.append("<table>" + "".join("<tr>" + "".join(f"<td>{_inline(c)}</td>" for c in r) + "</tr>" for r in rows if not all(re.fullmatch(r":?-+:?", c) for c in r)) + "</table>")
+        elif _ITEM.match(line):
+            while j < len(lines) and _ITEM.match(lines[j]):
+                j += 1
+            open_: list[tuple[int, str]] = []
+            for m in map(_ITEM.match, lines[i:j]):
+                depth, kind = len(m.group(1)), "ol" if m.group(2) else "ul"
+                while open_ and open_[-1][0] > depth:
+                    out.append(f"</li></{open_.pop()[1]}>")
+                if open_ and open_[-1][0] == depth:
+                    out.append("</li>")
+                else:
+                    open_.append((depth, kind))
+                    out.append(f"<{kind}>")
+                out.append(f"<li>{_inline(m.group(3))}")
+            out += [f"</li></{kind}>" for _, kind in reversed(open_)]
+        elif line.strip():
+            out.append(f"<p>{_inline(line.strip())}</p>")
+        i = j
+    return "".join(out)
+
+
+def _whole_pages(spark, sf_dir):
+    """Every doc, titled or not, as a web page of its whole body."""
+
+    def run(batch: pa.RecordBatch) -> pa.Table:
+        name, title, own, body = (batch.column(i).to_pylist() for i in range(4))
+        pages = [
+            f"<html><head><title>{html.escape(t or '')} | Site</title><meta name='ajs-page-id' content='{html.escape(s or '')}'></head><body><div id='main-content'>{body_html(b or '')}</div></body></html>".encode()
+            for t, s, b in zip(title, own, body)
+        ]
+        return pa.table({"name": pa.array([f"{n}.html" for n in name], pa.string()), "content": pa.array(pages, pa.binary())})
+
+    return arrow_rows(table(spark, sf_dir, "docs").select("name", "frontmatter.title", "frontmatter.source_id", "body"), run, "name string, content binary")
+
+
 def html_pages(spark, sf_dir):
     done = convert_files(_pages(spark, sf_dir), ("site.example",))
     return done.select("name", "source_id", "title", F.element_at("links", 1).alias("link"), F.size("links").cast("bigint").alias("n_links"), F.regexp_count("md", F.lit(r"(?m)^- one$|^  - two$|^Number \*\*\d+\*\*$")).cast("bigint").alias("n_blocks"))
 
 
 def html_markdown(spark, sf_dir):
-    return convert_files(_pages(spark, sf_dir), ("site.example",)).select("name", F.sha1(F.col("md").cast("binary")).alias("sha1"), "error")
+    """The markdown of every doc's whole body, converted from its web page."""
+    return convert_files(_whole_pages(spark, sf_dir), ("site.example",)).select("name", F.sha1(F.col("md").cast("binary")).alias("sha1"), "error")
 
 
 def layout_pages(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -28,13 +29,25 @@ def durable(df: DataFrame) -> DataFrame:
     The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset (tests on
     one machine) a temporary folder is taken.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="inkweft-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it; only where that is unset (tests on one machine) a temporary one."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkweft-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame, sort: str | None = None) -> DataFrame:
+    """Cut the lineage with a written table in the shared folder: smaller than a checkpoint and read column by column."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    (df.sortWithinPartitions(sort) if sort else df).write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _measure(field: StructField) -> Column:
     """Bytes of a value, measured where its type has no fixed size."""
     c = F.col(f"`{field.name}`")

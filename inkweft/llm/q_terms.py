@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkweft.llm.terms import term_scores, top_terms
+from inkweft.llm.terms import top_terms
 from inkweft.runtime import table
 
 
-def _scores(spark, sf_dir):
-    return term_scores(table(spark, sf_dir, "fragments"), "fragment_id", "body_stems", "head_stems")
+def _top(spark, sf_dir, by, k):
+    return top_terms(table(spark, sf_dir, "fragments"), "fragment_id", "body_stems", "head_stems", by, k)
 
 
 def p1_found(spark, sf_dir):
-    return top_terms(_scores(spark, sf_dir), "weight", 3).select(F.col("_id").alias("fragment_id"), F.col("term").alias("stem"))
+    return _top(spark, sf_dir, "weight", 3).select(F.col("_id").alias("fragment_id"), F.col("term").alias("stem"))
 
 
 def p1_distinctive(spark, sf_dir):
-    return top_terms(_scores(spark, sf_dir), "score", 5).select(
+    return _top(spark, sf_dir, "score", 5).select(
         F.col("_id").alias("fragment_id"), F.col("term").alias("stem"), F.col("tf").cast("bigint"), "df", "cf", "ridf", "score", F.col("rank").cast("bigint")
     )
 

@@ -42,9 +42,17 @@ def test_scores_equal_brute_force(spark):
 
 def test_top_terms_breaks_ties_by_code_point(spark):
     rows = [(1, ["é", "z", "Z", "a", "\U0001f600"], []), (2, ["q"], [])]
-    top = top_terms(term_scores(frame(spark, rows), "rid", "body", "head"), "weight", 3)
-    assert [r.term for r in top.where("_id = 1").orderBy("rank").collect()] == ["Z", "a", "z"]
-    assert top.where("_id = 2").count() == 1
+    for most in (400_000, 1):
+        top = top_terms(frame(spark, rows), "rid", "body", "head", "weight", 3, most)
+        assert [r.term for r in top.where("_id = 1").orderBy("rank").collect()] == ["Z", "a", "z"]
+        assert top.where("_id = 2").count() == 1
+
+
+def test_both_ways_pick_the_same(spark):
+    for by in ("score", "weight"):
+        got = [sorted((str(r._id), r.term, r.tf, r.in_head, r.df, r.cf, r.ridf, r.score, r.weight, r.rank) for r in top_terms(frame(spark, ROWS), "rid", "body", "head", by, 4, most).collect()) for most in (400_000, 0)]
+        assert got[0] == got[1] and len(got[0]) > 8
+    assert top_terms(frame(spark, []), "rid", "body", "head", "score", 3).count() == 0
 
 
 def test_poisson_term_counts_little(spark):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkweft.llm.words import WordHasher, flatten, grams, words
-from inkweft.runtime import arrow_rows, durable, small
+from inkweft.runtime import arrow_rows, durable, fits, small
 
 K, WINDOW = 8, 5
 
@@ -55,14 +55,15 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, k: int = K, w: int =
     hasher = WordHasher()
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        texts = batch.column(1).to_pylist()
         flat, offsets = flatten([hasher(words(t)) for t in texts])
         kept, h = winnow(flat, offsets, k, w)
         own = np.searchsorted(offsets, kept, side="right") - 1
         pairs = np.unique(np.rec.fromarrays([own, h[kept].view(np.int64)], names="o,h")) if len(kept) else np.rec.fromarrays([own, np.zeros(0, np.int64)], names="o,h")
-        return pa.table({"_id": pa.array([ids[i] for i in pairs.o], pa.int64()), "hash": pa.array(pairs.h, pa.int64())})
+        return pa.table({"_id": batch.column(0).take(pa.array(pairs.o.astype(np.int64))), "hash": pa.array(pairs.h, pa.int64())})
 
-    return arrow_rows(df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text")), run, "_id bigint, hash bigint")
+    own = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    return arrow_rows(own, run, f"_id {own.schema['_id'].dataType.simpleString()}, hash bigint")
 
 
 def longest_shared_run(a: list[str], b: list[str], k: int, least: int) -> int:
@@ -95,14 +96,19 @@ def leaked(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_i
     """
     if least < K + WINDOW - 1:
         raise ValueError("winnowing does not guarantee such short runs")
-    d = docs.select(F.col(doc_id).cast("bigint").alias("_id"), F.col(doc_text).alias("_text")).where("_id is not null and _text is not null")
-    t = items.select(F.col(item_id).cast("bigint").alias("_item"), F.col(item_text).alias("_passage")).where("_item is not null and _passage is not null")
+    d = docs.select(F.col(doc_id).alias("_id"), F.col(doc_text).alias("_text")).where("_id is not null and _text is not null")
+    t = items.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_passage")).where("_item is not null and _passage is not null")
     marks = durable(fingerprints(t, "_item", "_passage").withColumnRenamed("_id", "_item").distinct())
-    pairs = fingerprints(d, "_id", "_text").join(small(marks), "hash").select("_id", "_item").distinct()
-    both = pairs.join(d, "_id").join(small(t), "_item")
+    pairs = durable(fingerprints(d, "_id", "_text").join(small(marks), "hash").select("_id", "_item").distinct())
+    # Only the texts of documents that met an item go on: where their ids are few, no text crosses the network.
+    hit = pairs.select("_id").distinct()
+    near = d.join(F.broadcast(hit), "_id", "left_semi").join(F.broadcast(pairs), "_id") if fits(pairs) else d.join(pairs, "_id")
+    both = near.join(small(t), "_item")
+    kinds = [x.schema[c].dataType.simpleString() for x, c in ((d, "_id"), (t, "_item"))]
 
     def extend(batch: pa.RecordBatch) -> pa.Table:
-        doc, item, text, passage = (batch.column(i).to_pylist() for i in range(4))
+        doc, item = batch.column(0), batch.column(1)
+        text, passage = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         cut: dict[str, list[str]] = {}
         n = []
         for a, b in zip(text, passage):
@@ -112,6 +118,6 @@ def leaked(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_i
                 cut[b] = words(b)
             n.append(longest_shared_run(words(a), cut[b], K, least))
         keep = pa.array([x > 0 for x in n], pa.bool_())
-        return pa.table({"doc_id": pa.array(doc, pa.int64()), "item_id": pa.array(item, pa.int64()), "n_words": pa.array(n, pa.int32())}).filter(keep)
+        return pa.table({"doc_id": doc, "item_id": item, "n_words": pa.array(n, pa.int32())}).filter(keep)
 
-    return arrow_rows(both.select("_id", "_item", "_text", "_passage"), extend, "doc_id bigint, item_id bigint, n_words int").groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
+    return arrow_rows(both.select("_id", "_item", "_text", "_passage"), extend, f"doc_id {kinds[0]}, item_id {kinds[1]}, n_words int").groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))

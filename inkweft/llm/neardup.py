@@ -34,7 +34,7 @@ RUN, LEAST, THRESHOLD = 3, 20, 0.6
 T, TREES, SECOND, LIMIT = 128, 16, 0.25, 64
 #: Sketches of T bits agree in (1 + s) / 2 of them on average; this many fewer are let through (over three deviations).
 SLACK = 14
-ROUNDS, BLOCK = 5, 256
+ROUNDS, PART = 5, 512
 #: Recall at the threshold for which trees are added to the least number TREES; draws of a node above LIMIT.
 TARGET, HEAVY = 0.996, 3
 #: Share of agreeing tokens from which HEAVY draws save (almost) no comparisons; levels that all sets walk at most.
@@ -403,14 +403,24 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, run: int = RUN, l
 
 
 def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:
-    """``id_a, id_b`` (a < b) of all rows whose texts are similar, members of one set among them."""
+    """``id_a, id_b`` (a < b) of all rows whose texts are similar, members of one set among them.
+
+    Members of a set with many copies are dealt to parts of about ``PART``: a pair of sets meets part by part, and
+    so does a set with itself, so no task holds more than a part against all members of the other side.
+    """
     members, links = near_duplicates(df, id_col, text_col, **kw)
-    a = members.select(F.col("_id").alias("_x"), F.col("set_key").alias("a"))
-    b = members.select(F.col("_id").alias("_y"), F.col("set_key").alias("b"))
-    across = links.select("a", "b").join(a, "a").join(b, "b").where("_x <> _y")
-    copies = a.join(b, F.col("a") == F.col("b")).where("_x < _y")
-    ends = [F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b")]
-    return across.select(*ends).unionByName(copies.select(*ends)).distinct()
+    parts = members.groupBy("set_key").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("_n"))
+    ends = links.select("a", "b").unionByName(parts.where("_n > 1").select(F.col("set_key").alias("a"), F.col("set_key").alias("b"))).join(parts.withColumnRenamed("set_key", "a"), "a")
+    ends = ends.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_part"))
+    dealt = members.join(parts, "set_key").select(F.col("_id").alias("_x"), F.col("set_key").alias("a"), F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int").alias("_part"), "_n")
+    left = ends.join(dealt.drop("_n"), ["a", "_part"])
+    right = ends.join(members.select(F.col("_id").alias("_y"), F.col("set_key").alias("b")), "b")
+    far = left.join(right, ["a", "b", "_part"]).where((F.col("a") != F.col("b")) & (F.col("_x") != F.col("_y")) | (F.col("_x") < F.col("_y")))
+    # A set of one part has a bounded number of pairs.
+    own = dealt.where("_n = 1")
+    near = own.join(own.select(F.col("_x").alias("_y"), "a"), "a").where("_x < _y")
+    both = [F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b")]
+    return far.select(*both).unionByName(near.select(*both)).distinct()
 
 
 def near_duplicate_classes(df: DataFrame, id_col: str, text_col: str, **kw) -> DataFrame:

@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkweft.llm.repetition import repetition_profile
+from inkweft.llm.repetition import repeated_share, repetition_profile
 from inkweft.runtime import table
 
 
-def _profile(spark, sf_dir):
-    return repetition_profile(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
-
-
 def p10_found(spark, sf_dir):
-    return _profile(spark, sf_dir).where("n_words >= 20 and n_repeated >= 0.3 * n_words").select(F.col("_id").alias("doc_id")).distinct()
+    rows = repeated_share(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return rows.where("n_words >= 20 and n_repeated >= 0.3 * n_words").select(F.col("_id").alias("doc_id")).distinct()
 
 
 def p10_profile(spark, sf_dir):
-    return _profile(spark, sf_dir).withColumnRenamed("_id", "doc_id").withColumn("share", F.round("share", 6))
+    rows = repetition_profile(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    return rows.withColumnRenamed("_id", "doc_id").withColumn("share", F.round("share", 6))
 
 
 QUERIES = {"p10_found": p10_found, "p10_profile": p10_profile}

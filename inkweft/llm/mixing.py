@@ -1,12 +1,15 @@
 """Mixing sources to target weights.
 
 The tokens of each source are packed, in a pseudorandom order of its records, into blocks of fixed length.  The
-mix has as many slots as the scarcest source allows.  One pseudorandom permutation of all slots gives each slot
-its source, so the source counts of an output shard are multinomial draws under the condition that the totals
-come out at their quotas: unconditioned draws could exceed a source's cap.  The slot's place within its source
-then runs through passes over the source's blocks, each pass in its own pseudorandom permutation of their
-indexes, so no block, and no record in it, is used more often than there are passes.  Slots and blocks are
-joined by source and index.
+mix has as many slots as the scarcest source allows.  The source counts of each output shard are drawn from the
+multinomial law of the shares, conditioned on the quotas of the whole mix: the quotas are split over ever smaller
+runs of shards by hypergeometric draws, whose seeds depend on the run only, so any worker finds the counts of its
+shards, and what comes before them, by itself.  Unconditioned draws would miss the shares by chance and exceed the
+scarcest source's cap in half of all mixes.
+
+A slot's turn within its source runs through passes over the source's blocks, each pass in its own pseudorandom
+permutation of their indexes, so no block, and no record in it, is used more often than there are passes.  Slots
+and blocks are joined by source and index.
 
 Positions of records within a source come from two prefix sums: over the buckets of a source, and within each
 bucket, so a source that holds most of the input is never in one task.  Permutations are Feistel networks: any
@@ -20,6 +23,7 @@ import os
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +43,7 @@ def encoder(path: str):
     if path not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(path if os.path.isfile(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         _encoders[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
@@ -51,15 +55,16 @@ def plain_source(c: Column) -> Column:
 
 
 def tokenise(df: DataFrame, id_col: str, text_col: str, source_col: str, ranks: str = RANKS) -> DataFrame:
-    """``_id, source, tokens``; a null text has no tokens."""
+    """``_id, source, tokens``; a null text has no tokens.  The rank file of the driver goes to workers without one."""
+    df.sparkSession.sparkContext.addFile(ranks)
 
     def run(batch: pa.RecordBatch) -> pa.Table:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         tokens = [encoder(ranks).encode_ordinary(t) for t in texts]
         return pa.table({"_id": batch.column(0), "source": batch.column(2), "tokens": pa.array(tokens, pa.list_(pa.int32()))})
 
-    own = df.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).alias("_text"), plain_source(F.col(source_col)).alias("source"))
-    return arrow_rows(own, run, "_id bigint, source string, tokens array<int>")
+    own = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), plain_source(F.col(source_col)).alias("source"))
+    return arrow_rows(own, run, f"_id {own.schema['_id'].dataType.simpleString()}, source string, tokens array<int>")
 
 
 def permute(x: np.ndarray, size: np.ndarray | int, seed: np.ndarray | int) -> np.ndarray:
@@ -119,25 +124,65 @@ def place_tokens(tokens: DataFrame) -> DataFrame:
     return rows.withColumn("_run", F.sum("n").over(within)).join(small(before), ["source", "bucket"]).select("_id", "source", "tokens", "n", (F.col("_before") + F.col("_run") - F.col("n")).alias("start"))
 
 
+def split_quota(quota: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of ``n`` slots each source gets out of ``quota``, drawn without replacement.
+
+    Beyond the range of the exact generator each marginal is drawn from its normal limit, within what is possible.
+    """
+    if quota.sum() < 1_000_000_000:
+        return rng.multivariate_hypergeometric(quota, n, method="marginals")
+    out, left, rest = np.zeros_like(quota), int(n), int(quota.sum())
+    for i, k in enumerate(int(q) for q in quota):
+        mean = left * (k / rest) if rest else 0.0
+        spread = (mean * (1 - k / rest) * (rest - left) / max(rest - 1, 1)) ** 0.5 if rest else 0.0
+        out[i] = min(max(round(mean + spread * rng.standard_normal()), left - (rest - k), 0), k, left)
+        left, rest = left - int(out[i]), rest - k
+    return out
+
+
+def shard_counts(quota: np.ndarray, n_shards: int, wanted: np.ndarray, seed: int, size: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
+    """Source counts of each of the (sorted) shards ``wanted``, and the counts of all shards before it."""
+    counts, before = np.zeros((len(wanted), len(quota)), dtype=np.int64), np.zeros((len(wanted), len(quota)), dtype=np.int64)
+    total = int(quota.sum())
+    runs = [(0, n_shards, np.asarray(quota, dtype=np.int64), np.zeros(len(quota), dtype=np.int64))]
+    while runs:
+        lo, hi, own, done = runs.pop()
+        a, b = np.searchsorted(wanted, [lo, hi])
+        if a == b:
+            continue
+        if hi - lo == 1:
+            counts[a:b], before[a:b] = own, done
+            continue
+        mid = (lo + hi) // 2
+        left = split_quota(own, min(mid * size, total) - lo * size, np.random.default_rng([seed, lo, hi]))
+        runs += [(lo, mid, left, done), (mid, hi, own - left, done + left)]
+    return counts, before
+
+
 def _slots(spark: SparkSession, plan: list[dict], seed: int) -> DataFrame:
     """``shard, slot, source, block, pass``: every slot of the mix with the block that fills it."""
     live = [r for r in plan if r["slots"]]
-    total = sum(r["slots"] for r in live)
-    ends = np.cumsum([r["slots"] for r in live])
+    quota = np.array([r["slots"] for r in live], dtype=np.int64)
     blocks = np.array([r["blocks"] for r in live], dtype=np.int64)
     names = np.array([r["source"] for r in live], dtype=object)
+    n_shards = -(-int(quota.sum()) // SHARD)
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        slot = batch.column(0).to_numpy()
-        place = permute(slot, total, seed)
-        own = np.searchsorted(ends, place, side="right")
-        turn = place - (ends - np.array([r["slots"] for r in live]))[own]
+        shards = np.sort(batch.column(0).to_numpy())
+        counts, before = shard_counts(quota, n_shards, shards, seed)
+        size = counts.sum(axis=1)
+        shard, begin = np.repeat(shards, size), np.repeat(np.cumsum(size) - size, size)
+        own = np.repeat(np.tile(np.arange(len(quota)), len(shards)), counts.ravel())
+        at = np.arange(len(own))
+        first = np.repeat(np.cumsum(counts.ravel()) - counts.ravel(), counts.ravel())
+        turn = np.repeat(before.ravel(), counts.ravel()) + at - first
         lap = turn // blocks[own]
         with np.errstate(over="ignore"):
             key = mix(own.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + lap.astype(np.uint64) + np.uint64(seed))
-        return pa.table({"shard": pa.array(slot // SHARD), "slot": pa.array(slot % SHARD), "source": pa.array(names[own], pa.string()), "block": pa.array(permute(turn % blocks[own], blocks[own], key)), "pass": pa.array(lap)})
+            slot = permute(at - begin, np.repeat(size, size), mix(shard.astype(np.uint64) + np.uint64(seed)))
+        return pa.table({"shard": pa.array(shard), "slot": pa.array(slot), "source": pa.array(names[own], pa.string()), "block": pa.array(permute(turn % blocks[own], blocks[own], key)), "pass": pa.array(lap)})
 
-    return arrow_rows(spark.range(total), run, "shard bigint, slot bigint, source string, block bigint, pass bigint")
+    return arrow_rows(spark.range(n_shards), run, "shard bigint, slot bigint, source string, block bigint, pass bigint")
 
 
 def mix_sources(docs: DataFrame, id_col: str, text_col: str, source_col: str, targets: DataFrame, block: int = BLOCK, total_tokens: int | None = None, seed: int = 7, ranks: str = RANKS) -> tuple[DataFrame, DataFrame]:
@@ -145,7 +190,10 @@ def mix_sources(docs: DataFrame, id_col: str, text_col: str, source_col: str, ta
 
     mix: ``shard, slot, source, block, pass, n_tokens, tokens``, one row for each slot; all blocks have ``block``
     tokens but the last of each source.  shares: ``source, target_share, available_tokens, mix_tokens,
-    actual_share, max_passes, passes`` for each target, also those without records.
+    actual_share, max_passes, passes, unused_blocks`` for each target, also those without records.
+
+    The source that runs out first at its target share, repeats counted, sets the size of the whole mix;
+    ``total_tokens`` may ask for less.  unused_blocks says how many blocks of a source are in no slot.
 
     Records with a null source or one without a target, and records without tokens, are in no mix.  A target
     named twice after normalising counts once with the sum of its shares and the least of its repeats; null
@@ -167,8 +215,8 @@ def mix_sources(docs: DataFrame, id_col: str, text_col: str, source_col: str, ta
     # A block holds at most ``block`` tokens, so gathering its parts is bounded.
     whole = parts.groupBy("source", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("start", "part"))), lambda x: x["part"])).alias("tokens"))
     mixed = slots.join(whole, ["source", "block"]).select("shard", "slot", "source", "block", "pass", F.size("tokens").cast("bigint").alias("n_tokens"), "tokens")
-    schema = "source string, target_share double, available_tokens bigint, max_passes int"
-    stated = spark.createDataFrame([(r["source"], r["target"], r["tokens"], r["passes"]) for r in plan], schema)
+    schema = "source string, target_share double, available_tokens bigint, max_passes int, blocks bigint, slots bigint"
+    stated = spark.createDataFrame([(r["source"], r["target"], r["tokens"], r["passes"], r["blocks"], r["slots"]) for r in plan], schema)
     # What the shares came to, from the slots and the length of their blocks.
     length = F.least(F.lit(block).cast("bigint"), F.col("available_tokens") - F.col("block") * block)
     used = slots.join(small(stated.select("source", "available_tokens")), "source").groupBy("source").agg(F.sum(length).alias("mix_tokens"), (F.max("pass") + 1).cast("int").alias("passes"))
@@ -176,5 +224,6 @@ def mix_sources(docs: DataFrame, id_col: str, text_col: str, source_col: str, ta
     shares = stated.join(small(used), "source", "left").select(
         "source", "target_share", "available_tokens", F.coalesce("mix_tokens", F.lit(0)).cast("bigint").alias("mix_tokens"),
         F.round(F.coalesce("mix_tokens", F.lit(0)) / F.sum("mix_tokens").over(total), 6).alias("actual_share"), "max_passes", F.coalesce("passes", F.lit(0)).alias("passes"),
+        F.greatest(F.col("blocks") - F.col("slots"), F.lit(0)).alias("unused_blocks"),
     )
     return mixed, shares

@@ -2,7 +2,7 @@ from collections import Counter
 
 import numpy as np
 
-from inkweft.llm.mixing import mix_sources, permute, place_tokens, quotas, tokenise
+from inkweft.llm.mixing import mix_sources, permute, place_tokens, quotas, shard_counts, split_quota, tokenise
 
 
 def test_permutations():
@@ -74,3 +74,19 @@ def test_empty_tables(spark):
     assert mixed.count() == 0 and shares.count() == 3
     mixed, shares = mix_sources(docs(spark), "did", "txt", "src", target.where("false"))
     assert mixed.count() == 0 and shares.count() == 0
+
+
+def test_shards_split_the_quotas():
+    """Counts meet the quotas, shards are full, any subset of shards sees the same, and counts vary as draws do."""
+    quota, n = np.array([700, 250, 0, 61]), 11
+    counts, before = shard_counts(quota, n, np.arange(n), 3, size=100)
+    assert counts.sum(axis=0).tolist() == quota.tolist() and counts.sum(axis=1).tolist() == [100] * 10 + [11]
+    assert (np.cumsum(counts, axis=0) - counts == before).all() and len(set(counts[:10, 0].tolist())) > 3
+    some, ahead = shard_counts(quota, n, np.array([2, 7]), 3, size=100)
+    assert (some == counts[[2, 7]]).all() and (ahead == before[[2, 7]]).all()
+
+
+def test_quotas_beyond_the_exact_generator():
+    quota = np.array([3_000_000_000, 1_000_000_000, 5])
+    left = split_quota(quota, 2_000_000_000, np.random.default_rng(1))
+    assert left.sum() == 2_000_000_000 and (left >= 0).all() and (left <= quota).all() and abs(left[0] / 2e9 - 0.75) < 1e-3

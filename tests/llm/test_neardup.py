@@ -125,12 +125,11 @@ def test_trees_reach_the_target_on_the_longest_path():
 
 def test_many_copies_are_paired_in_parts(spark, monkeypatch):
     """A set with more copies than a part holds, linked to another one, gives every pair once."""
-    from inkweft.llm import neardup
 
-    monkeypatch.setattr(neardup, "PART", 4)
+    monkeypatch.setattr(N, "PART", 4)
     base = [f"w{i}" for i in range(40)]
     rows = [(i, " ".join(base)) for i in range(23)] + [(100 + i, " ".join(base[:-1] + ["other"])) for i in range(9)] + [(500, "far " + " ".join(f"z{i}" for i in range(30)))]
     df = spark.createDataFrame(rows, "oid int, t string")
-    got = sorted((r.id_a, r.id_b) for r in near_duplicate_pairs(df, "oid", "t").collect())
+    got = sorted((r.id_a, r.id_b) for r in N.near_duplicate_pairs(df, "oid", "t").collect())
     ids = sorted(i for i, _ in rows[:-1])
     assert got == [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :]]

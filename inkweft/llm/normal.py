@@ -1,10 +1,11 @@
 """One consistent form for text that looks the same but is stored with other characters.
 
-A transducer is compiled once from tables built by rule: width variants and ligatures, blanks, invisible
-characters, letters composed from a base and its accents, and letters of another script with the same look.
-The tables are checked for conflicts: no key may have two results, and no result may contain a key, so a second
-pass never changes anything.  The keys are joined longest first into one pattern, so each grapheme cluster is
-rewritten by its longest match in a single pass over the text.
+A transducer is compiled once from one table built by rule: width variants and ligatures, blanks, invisible
+characters, letters composed from a base and its accents.  For words of one script the table is extended by the
+letters of other scripts with the same look, alone and with every accent they may carry.  Every entry goes through
+one check: no key may have two results, and no result may contain a key, so a second pass never changes anything.
+Each grapheme cluster is rewritten by its longest match in a single pass over the text, or over the word whose
+script is told.
 
 Letters that look alike across scripts are rewritten only where the surroundings tell their script: within a
 word by its letters that no other script has, for a word made of look-alikes only by its line.  Signs with a
@@ -40,6 +41,10 @@ _GREEK_AS_CYRILLIC = "АВЕНІКМОРТУХорк"
 _LATIN_FOR_CYRILLIC = "ABCEHIJKMOPSTXYaceijopsxy"
 _LATIN_AS_CYRILLIC = "АВСЕНІЈКМОРЅТХУасеіјорѕху"
 
+#: Letters of scripts that are rarely met: rewritten only if every foreign letter of the word has a Latin look.
+_RARE = "ՀՕօոսհցյզԼՍՏɑɡɩ"
+_RARE_AS_LATIN = "HOonuhgjqLUSagi"
+
 _ALIKE = frozenset(_CYRILLIC + _GREEK)
 
 _LATIN_ONLY = re.compile("[DFGLNQRUVWZbdfghklmnqrtuvwzÀ-ɏ]")
@@ -61,29 +66,56 @@ def _ranges(spec: str) -> list[str]:
     return out
 
 
-def plain_table() -> dict[str, str]:
+class Table(dict):
+    """Rewrites by key; a key never gets a second result."""
+
+    def add(self, key: str, out: str) -> None:
+        if self.setdefault(key, out) != out:
+            raise ValueError(f"{key!r} is to become both {self[key]!r} and {out!r}")
+
+
+def plain_table() -> Table:
     """Rewrites that hold in any surroundings."""
-    table = {c: "" for c in _ranges(_INVISIBLE)} | {c: " " for c in _ranges(_BLANKS)} | {c: "\n" for c in _ranges(_LINES)}
-    table |= {"‐": "-", "‑": "-", "․": ".", ";": ";", "`": "`", "·": "·"}
+    table = Table()
+    for spec, out in ((_INVISIBLE, ""), (_BLANKS, " "), (_LINES, "\n")):
+        for c in _ranges(spec):
+            table.add(c, out)
+    for c, out in (("‐", "-"), ("‑", "-"), ("\u2024", "."), ("\u037e", ";"), ("\u1fef", "`"), ("\u0387", "·")):
+        table.add(c, out)
     # Width variants, ligatures and letters set in another style read as their compatibility form; so do letter-like singletons.
     for lo, hi in ((0xFB00, 0xFB06), (0xFE50, 0xFE6B), (0xFF01, 0xFF5E), (0xFF5F, 0xFFDC), (0xFFE0, 0xFFE6), (0x1D400, 0x1D7FF), (0x2160, 0x217F), (0x2126, 0x2126), (0x212A, 0x212B)):
         for c in map(chr, range(lo, hi + 1)):
             form = unicodedata.normalize("NFKC", c)
-            if form != c and c not in table:
-                table[c] = form
+            if form != c and c not in _ranges(_INVISIBLE):
+                table.add(c, form)
     # Letters with accents: every canonical decomposition of a composed letter. The composed one is the form.
     for code in [*range(0xC0, 0x530), *range(0x1E00, 0x2000)]:
         c = chr(code)
         parts = unicodedata.normalize("NFD", c)
         if len(parts) > 1 and unicodedata.normalize("NFC", parts) == c:
-            table[parts] = c
+            table.add(parts, c)
             if len(parts) == 3:  # an already composed first pair with one more accent
-                table[unicodedata.normalize("NFC", parts[:2]) + parts[2]] = c
+                table.add(unicodedata.normalize("NFC", parts[:2]) + parts[2], c)
                 swapped = parts[0] + parts[2] + parts[1]
                 if unicodedata.normalize("NFC", swapped) == c:  # accents of different places may come in either order
-                    table[swapped] = c
+                    table.add(swapped, c)
                     if len(first := unicodedata.normalize("NFC", swapped[:2])) == 1:
-                        table[first + parts[1]] = c
+                        table.add(first + parts[1], c)
+    return table
+
+
+def script_table(alike: dict[str, str]) -> Table:
+    """The plain table for words of one script: letters of others with the same look become its own, with their accents too."""
+    table = plain_table()
+    for own, out in alike.items():
+        table.add(own, out)
+        for key, form in [(k, v) for k, v in table.items() if len(k) > 1 and k[0] == out]:
+            if own + key[1:] not in table:  # unless the letter composes with the accent in its own script
+                table.add(own + key[1:], form)
+    # What other styles of a letter read as goes on to the letter of the script.
+    for key, form in table.items():
+        if any(c in alike for c in form):
+            table[key] = "".join(alike.get(c, c) for c in form)
     return table
 
 
@@ -132,15 +164,16 @@ class Transducer:
 def _compiled():
     table = plain_table()
     plain = Transducer(table)
-    to_latin = str.maketrans(_CYRILLIC + _GREEK, _CYRILLIC_AS_LATIN + _GREEK_AS_LATIN)
-    to_cyrillic = str.maketrans(_LATIN_FOR_CYRILLIC + _GREEK_FOR_CYRILLIC, _LATIN_AS_CYRILLIC + _GREEK_AS_CYRILLIC)
+    to_latin = Transducer(script_table(dict(zip(_CYRILLIC + _GREEK + _RARE, _CYRILLIC_AS_LATIN + _GREEK_AS_LATIN + _RARE_AS_LATIN))))
+    to_cyrillic = Transducer(script_table(dict(zip(_LATIN_FOR_CYRILLIC + _GREEK_FOR_CYRILLIC, _LATIN_AS_CYRILLIC + _GREEK_AS_CYRILLIC))))
     odd = frozenset(k for k in table if len(k) == 1) | frozenset(_ranges(_MARKS))
-    others = frozenset(map(chr, range(0x370, 0x530)))
-    latin, other = "A-Za-zÀ-ɏ", "Ͱ-ϿЀ-ԯ"
+    others = frozenset(map(chr, range(0x370, 0x530))) | frozenset(_RARE)
+    latin, other = "A-Za-zÀ-ɏ", f"Ͱ-ϿЀ-ԯ{_RARE}"
     mixed = re.compile(f"[{latin}][{other}]|[{other}][{latin}]|[Ͱ-Ͽ][Ѐ-ԯ]|[Ѐ-ԯ][Ͱ-Ͽ]")
-    word = re.compile(r"[^\W\d_]+")
-    alike = re.compile(f"[{_CYRILLIC}{_GREEK}]+")
-    return plain, to_latin, to_cyrillic, odd, others, mixed, word, alike
+    word = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*")
+    alike = re.compile(f"[{_CYRILLIC}{_GREEK}][{_CYRILLIC}{_GREEK}{_MARKS}]*")
+    rare, latin_looking = re.compile(f"[{_RARE}]"), re.compile(f"[{latin}{_RARE}{_MARKS}]+")
+    return plain, to_latin, to_cyrillic, odd, others, mixed, word, alike, rare, latin_looking
 
 
 def _script(word: str, line: str) -> str:
@@ -164,7 +197,7 @@ def normal_form(text: str) -> str:
 def _once(text: str) -> str:
     if text.isascii():
         return text
-    plain, to_latin, to_cyrillic, odd, others, mixed, word, alike = _compiled()
+    plain, to_latin, to_cyrillic, odd, others, mixed, word, alike, rare, latin_looking = _compiled()
     chars = set(text)
     if not chars.isdisjoint(odd):
         text = plain(text)
@@ -186,7 +219,9 @@ def _once(text: str) -> str:
                 return w
             kinds = (_LATIN.search(w) is not None) + (_CYR.search(w) is not None) + (_GRK.search(w) is not None)
             if kinds > 1:
-                return w.translate(to_latin if _script(w, line) == "latin" else to_cyrillic)
+                return (to_latin if _script(w, line) == "latin" else to_cyrillic)(w)
+            if rare.search(w) and kinds:
+                return to_latin(w) if _LATIN.search(w) and latin_looking.fullmatch(w) else w
             if not alike.fullmatch(w):
                 return w
             if len(w) == 1 and _GRK.search(w):  # alone it is a symbol, joined to other characters a letter
@@ -200,34 +235,31 @@ def _once(text: str) -> str:
                     whole = (_LATIN_ONLY.search(text), _CYRILLIC_ONLY.search(text))
                 latin, cyrillic = whole
             if latin and not cyrillic:
-                return w.translate(to_latin)
-            return w.translate(to_cyrillic) if _GRK.search(w) and cyrillic else w
+                return to_latin(w)
+            return to_cyrillic(w) if _GRK.search(w) and cyrillic else w
 
-        new = word.sub(rewrite, line)
-        # A letter that changed its script may now compose with the accent behind it.
-        out.append(plain(new) if new != line and not odd.isdisjoint(new) else new)
+        out.append(word.sub(rewrite, line))
     return "\n".join(out)
 
 
 def normalise(df: DataFrame, id_col: str, fields: list[str], with_text: bool = True) -> DataFrame:
     """``_id, field, changed[, normal]``: a row for each row of ``df`` and each field.
 
-    A null value stays null and counts as unchanged; so does an empty one.  Repeated rows are kept.  The field
+    A null value stays null and counts as unchanged; so does an empty one.  Repeated rows are kept, ids keep their type.  The field
     columns are strings; other columns are ignored.
     """
 
     def run(batch: pa.RecordBatch) -> pa.Table:
-        ids = batch.column(0).to_pylist()
-        columns: dict[str, list] = {"_id": [], "field": [], "changed": [], "normal": []}
+        columns: dict[str, list] = {"field": [], "changed": [], "normal": []}
         for k, name in enumerate(fields):
             values = batch.column(k + 1).to_pylist()
             normal = [None if v is None else normal_form(v) for v in values]
-            columns["_id"] += ids
-            columns["field"] += [sys.intern(name)] * len(ids)
+            columns["field"] += [sys.intern(name)] * len(values)
             columns["changed"] += [a != b for a, b in zip(values, normal)]
             columns["normal"] += normal
-        out = pa.table({"_id": pa.array(columns["_id"], pa.int64()), "field": pa.array(columns["field"], pa.string()), "changed": pa.array(columns["changed"], pa.bool_())})
+        out = pa.table({"_id": pa.concat_arrays([batch.column(0)] * len(fields)), "field": pa.array(columns["field"], pa.string()), "changed": pa.array(columns["changed"], pa.bool_())})
         return out.append_column("normal", pa.array(columns["normal"], pa.string())) if with_text else out
 
-    own = [F.col(id_col).cast("bigint").alias("_id"), *[F.col(f).cast("string").alias(f"_f{i}") for i, f in enumerate(fields)]]
-    return arrow_rows(df.select(*own), run, "_id bigint, field string, changed boolean" + ", normal string" * with_text)
+    own = [F.col(id_col).alias("_id"), *[F.col(f).cast("string").alias(f"_f{i}") for i, f in enumerate(fields)]]
+    rows = df.select(*own)
+    return arrow_rows(rows, run, f"_id {rows.schema['_id'].dataType.simpleString()}, field string, changed boolean" + ", normal string" * with_text)

@@ -4,13 +4,13 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from inkweft.llm.normal import Transducer, check_table, normal_form, normalise, plain_table
+from inkweft.llm.normal import Transducer, check_table, normal_form, normalise, plain_table, script_table
 
 CASES = {
     "Ｆｕｌｌ\u3000ｗｉｄｔｈ－１": "Full width-1", "e\u0301te\u0301": "été", "и\u0306": "й", "zero\u200bwidth\ufeff": "zerowidth", "no\u00a0break\u202fand\u2007figure": "no break and figure", "conﬁrm": "confirm",
-    "Маnаgе": "Manage", "Τukaen": "Tukaen", "стoрінці": "сторінці", "Блoг": "Блог", "ассеѕѕ_rеquеѕt": "access_request", "v_ν5.htm": "v_v5.htm", "so\u00adft": "soft", "e\u0302\u0323": "ệ".replace("ệ", unicodedata.normalize("NFC", "e\u0302\u0323")),
+    "Հello": "Hello", "ɑpple": "apple", "саfе\u0301": "café", "Маnаgе": "Manage", "Τukaen": "Tukaen", "стoрінці": "сторінці", "Блoг": "Блог", "ассеѕѕ_rеquеѕt": "access_request", "v_ν5.htm": "v_v5.htm", "so\u00adft": "soft", "e\u0302\u0323": "ệ".replace("ệ", unicodedata.normalize("NFC", "e\u0302\u0323")),
 }
-SAME = ["", "plain ascii", "m² № € ™ ½", "λ Ω Δ β ν", "Усі права, а і у", "„Zitat“ « cité » ’", "déjà ü ß й ї", "API-ключ", "👩\u200d👩\u200d👧 ❤\ufe0f", "q\u0301 stays", "…—•›", "\n\n"]
+SAME = ["", "ˈɑːpəl", "Հայերեն", "ışık", "plain ascii", "m² № € ™ ½", "λ Ω Δ β ν", "Усі права, а і у", "„Zitat“ « cité » ’", "déjà ü ß й ї", "API-ключ", "👩\u200d👩\u200d👧 ❤\ufe0f", "q\u0301 stays", "…—•›", "\n\n"]
 
 
 @pytest.mark.parametrize("text", CASES)
@@ -36,6 +36,13 @@ def test_conflicts_are_refused():
         check_table({"a": "b", "b": "c"})
     with pytest.raises(ValueError):
         Transducer({"x": "yx"})
+    table = plain_table()
+    table.add("\u00a0", " ")  # the same again is no conflict
+    with pytest.raises(ValueError):
+        table.add("\u00a0", "_")
+    with pytest.raises(ValueError):
+        script_table({"а": "a"}).add("а", "x")
+    check_table(script_table({"а": "a", "е": "e"}))
 
 
 def test_longest_match():

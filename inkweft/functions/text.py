@@ -136,16 +136,20 @@ def derived_id(*parts: Column) -> Column:
     return F.concat(F.lit("d"), F.substring(F.sha1(F.concat_ws("\x00", *parts)), 1, 11))
 
 
+# Words that number the parts of a law or contract, by heading level.
+PARTS = {
+    2: ["teil", "kapitel", "abschnitt", "part", "chapter", "título", "capítulo", "titre", "chapitre", "titolo", "capo", "hoofdstuk", "afdeling", "dział", "rozdział", "розділ", "глава"],
+    3: ["artikel", "§", "article", "section", "artículo", "articolo", "artykuł", "art.", "artigo", "підрозділ", "стаття"],
+}
+
+
 def structural_level(text: Column) -> Column:
     """Heading level of a paragraph that is a numbered part (article, chapter, section), else null."""
-    # Words that number the parts of a law or contract, by level.
-    two = ["teil", "kapitel", "abschnitt", "part", "chapter", "título", "capítulo", "titre", "chapitre", "titolo", "capo", "hoofdstuk", "afdeling", "dział", "rozdział", "розділ", "глава"]
-    three = ["artikel", "§", "article", "section", "artículo", "articolo", "artykuł", "art.", "artigo", "підрозділ", "стаття"]
-    words = sorted(two + three, key=len, reverse=True)
+    words = sorted(PARTS[2] + PARTS[3], key=len, reverse=True)
     pattern = r"^(?iu:(" + "|".join(w.replace(".", r"\.") for w in words) + r"))(?U)\s*(\d+(?:[-–.]\d+)*|[IVXLCDM]+)\b\.?\s*(.*)$"
     whole = F.trim(text)
     bare = F.trim(F.replace(F.replace(whole, F.lit("**"), F.lit("")), F.lit("__"), F.lit("")))
     rest = F.trim(F.regexp_extract(bare, pattern, 3))
     bad = (whole == "") | (F.length(whole) > 160) | whole.rlike(r"^(?:[#|>`]|[-*+] )") | (rest.rlike(r"[.;:,]$") & (F.length(rest) > 40))
     word = F.lower(F.regexp_extract(bare, pattern, 1))
-    return F.when(~bad & (word != ""), F.when(word.isin(two), 2).otherwise(3))
+    return F.when(~bad & (word != ""), F.when(word.isin(PARTS[2]), 2).otherwise(3))

@@ -12,6 +12,9 @@ class Settings:
     languages: tuple[str, ...] = ("en",)
     internal_hosts: tuple[str, ...] = ()
     extra_stopwords: tuple[str, ...] = ()
+    keep: tuple[str, ...] = ()
+    #: Letters of further languages and how they are written in Latin letters.
+    letters: tuple[tuple[str, str], ...] = ()
     # fragments
     chunk_chars: int = 420
     chunk_overlap: float = 0.25

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkweft.config import Settings
 from inkweft.functions import text as T
 from inkweft.operators.index import Index
+from inkweft.runtime import durable
 
 
 def pick_markers(passages: DataFrame) -> DataFrame:
@@ -61,11 +62,15 @@ def markers_present(cases: DataFrame, docs: DataFrame, name: str = "name", text:
     return cases.join(said, "file").where(F.contains("_said", T.plain(F.col("marker"), links=True))).drop("_said")
 
 
-def evaluate(cases: DataFrame, hits: DataFrame, texts: DataFrame) -> DataFrame:
-    """One row ``total, at1, at3, at5, any, right_document, pct1, tokens``: at which rank the marker is found.
+def evaluate(cases: DataFrame, hits: DataFrame, texts: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """One row ``total, at1, at3, at5, any, right_document, pct1, tokens, skipped``: at which rank the marker is found.
+
+    With ``docs`` (``name, body``) cases whose marker no longer stands in their file are skipped and only counted.
 
     cases: ``qid, marker, file``; hits: as the search gives them.  Percentages are whole numbers, rounded down.
     """
+    every = cases.count()
+    cases = cases if docs is None else durable(markers_present(cases, docs))
     shown = hits.join(texts, ["name", "seq"]).join(cases, "qid")
     found = F.contains(T.plain(F.col("body"), links=True), T.plain(F.col("marker"), links=True))
     per = shown.groupBy("qid").agg(F.min(F.when(found, F.col("rank"))).alias("rank"), F.max(F.when(F.col("rank") == 1, F.col("name") == F.col("file"))).alias("_doc"), F.sum(F.length("body")).alias("_chars"))
@@ -73,4 +78,4 @@ def evaluate(cases: DataFrame, hits: DataFrame, texts: DataFrame) -> DataFrame:
     return own.agg(
         F.count("*").alias("total"), *[F.count_if(F.col("rank") <= k).alias(f"at{k}") for k in (1, 3, 5)], F.count("rank").alias("any"), F.count_if(F.coalesce("_doc", F.lit(False))).alias("right_document"),
         F.expr("coalesce(count_if(rank <= 1) * 100 div nullif(count(*), 0), 0)").alias("pct1"), F.expr("coalesce(sum(_chars) div 4, 0)").alias("tokens"),
-    )
+    ).withColumn("skipped", F.lit(every) - F.col("total"))

@@ -81,17 +81,23 @@ def heal_sources(cards: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def align_assets(docs: DataFrame, moves: DataFrame) -> DataFrame:
-    """Texts with the picture folder of a renamed document (``name, old_folder, new_folder``) replaced."""
+    """Texts with the picture folder of a renamed document (``name, old_folder, new_folder``) replaced; an empty old
+    folder stands for pictures that lie in none yet."""
     own = docs.join(moves, "name", "left")
-    new = F.replace("body", F.concat(F.lit("assets/"), "old_folder", F.lit("/")), F.concat(F.lit("assets/"), "new_folder", F.lit("/")))
+    old = F.concat(F.lit("](assets/"), F.when(F.col("old_folder") != "", F.concat("old_folder", F.lit("/"))).otherwise(""))
+    new = F.replace("body", old, F.concat(F.lit("](assets/"), "new_folder", F.lit("/")))
     return own.withColumn("body", F.coalesce(new, "body")).select(*docs.columns)
 
 
-def status(docs: DataFrame, manifest: DataFrame, stale: DataFrame, missing: DataFrame, top: int = 8) -> DataFrame:
-    """``item, n, detail``: counts of documents, failures, stale topics, and the pages missed most."""
+def status(docs: DataFrame, manifest: DataFrame, stale: DataFrame, missing: DataFrame, top: int = 8, history: DataFrame | None = None) -> DataFrame:
+    """``item, n, detail``: counts of documents, failures, stale topics, the pages missed most, and the documents changed
+    last (n: units added and removed)."""
     count = lambda df, item: df.agg(F.lit(item).alias("item"), F.count("*").alias("n"), F.lit(None).cast("string").alias("detail"))
     lost = missing.orderBy(F.col("n_labels").desc(), "key").limit(top).select(F.lit("missing page").alias("item"), F.col("n_labels").alias("n"), F.col("key").alias("detail"))
-    return count(docs, "documents").unionByName(count(manifest.where("failed is not null"), "failed")).unionByName(count(stale, "stale topics")).unionByName(lost)
+    rows = count(docs, "documents").unionByName(count(manifest.where("failed is not null"), "failed")).unionByName(count(stale, "stale topics")).unionByName(lost)
+    if history is None:
+        return rows
+    return rows.unionByName(recent_changes(history).select(F.lit("changed").alias("item"), (F.col("added") + F.col("removed")).cast("bigint").alias("n"), F.col("name").alias("detail")))
 
 
 def first_lines(log: DataFrame, most: int = 12) -> DataFrame:

@@ -6,7 +6,8 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweft.config import Settings
@@ -17,13 +18,22 @@ from inkweft.operators.sections import document_titles, fragments
 @dataclass
 class Index:
     """fragments: ``fid, name, seq, line_no, heading, body_stems, head_stems``; terms: ``token, df, idf``;
-    titles: ``name, title, title_stems``; texts: ``name, seq, body`` (read only for what is shown)."""
+    titles: ``name, title, title_stems``; texts: ``name, seq, body`` (read only for what is shown); saved: the postings
+    as they were written, by bucket of tokens."""
 
     fragments: DataFrame
     terms: DataFrame
     titles: DataFrame
     texts: DataFrame | None
     n: int
+    saved: DataFrame | None = None
+
+    def postings_of(self, tokens: DataFrame) -> DataFrame:
+        """The postings that may hold one of ``tokens`` (column ``token``): of a saved index only the tokens' buckets are read."""
+        if self.saved is None:
+            return self.postings
+        buckets = [r.bucket for r in tokens.select(token_bucket().alias("bucket")).distinct().collect()]  # BUCKETS numbers at most
+        return self.saved.where(F.col("bucket").isin(buckets)).drop("bucket")
 
     @property
     def postings(self) -> DataFrame:
@@ -34,6 +44,13 @@ class Index:
         )
 
 
+BUCKETS = 64
+
+
+def token_bucket(token: str = "token") -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
+
+
 def term_weights(fragments: DataFrame, n: int) -> DataFrame:
     """``token, df, idf`` with idf = ln(1 + n / df), over distinct tokens of body and heading."""
     seen = fragments.select(F.explode(F.array_union("body_stems", "head_stems")).alias("token"))
@@ -63,7 +80,7 @@ def settings_key(settings: Settings, version: int = 1) -> str:
     return hashlib.sha1(json.dumps([version, asdict(settings)], sort_keys=True, default=str).encode()).hexdigest()[:16]
 
 
-def save_index(index: Index, path: str, settings: Settings, buckets: int = 64) -> None:
+def save_index(index: Index, path: str, settings: Settings) -> None:
     """Write the tables under a folder named by the settings, so indexes of other settings are never read by mistake.
 
     Postings are written sorted by token into hash buckets of tokens: a reader prunes to the buckets of its
@@ -75,15 +92,16 @@ def save_index(index: Index, path: str, settings: Settings, buckets: int = 64) -
         own["texts"] = index.texts
     for kind, df in own.items():
         df.write.mode("overwrite").parquet(f"{root}/{kind}")
-    bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
-    index.postings.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
+    index.postings.withColumn("bucket", token_bucket()).repartition("bucket").sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings")
 
 
 def load_index(spark: SparkSession, path: str, settings: Settings) -> Index | None:
-    """The saved index, or None if there is none for these settings or it can't be read."""
+    """The saved index, or None if there is none for these settings."""
     root = f"{path}/{settings_key(settings)}"
     try:
-        own = {k: spark.read.parquet(f"{root}/{k}") for k in ("fragments", "terms", "titles", "texts")}
-        return Index(own["fragments"], own["terms"], own["titles"], own["texts"], own["fragments"].count())
-    except Exception:  # noqa: BLE001 - a missing or damaged index is built again
+        own = {k: spark.read.parquet(f"{root}/{k}") for k in ("fragments", "terms", "titles", "texts", "postings")}
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
+    return Index(own["fragments"], own["terms"], own["titles"], own["texts"], own["fragments"].count(), own["postings"])

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweft.functions import text as T
-from inkweft.runtime import small
 
 # A markdown link that is no picture.
 LINK = r"(?<!!)\[([^\]]*)\]\(([^)\s]+)\)"
@@ -147,11 +146,22 @@ def graph_nodes(edges_: DataFrame) -> DataFrame:
     return both.select("name", F.regexp_replace("name", "[^A-Za-z0-9]", "_").alias("node"))
 
 
+def graph_text(edges_: DataFrame) -> DataFrame:
+    """``line``: the graph of documents as diagram text, in order: a head and a line for each edge ``src, dst``."""
+    node = lambda c: F.concat(F.regexp_replace(c, "[^A-Za-z0-9]", "_"), F.lit('["'), F.regexp_replace(c, r"\.md$", ""), F.lit('"]'))
+    rows = edges_.select("src", "dst").distinct().select(F.lit(1).alias("_k"), "src", "dst", F.concat(F.lit("  "), node("src"), F.lit(" --> "), node("dst")).alias("line"))
+    head = edges_.sparkSession.createDataFrame([(0, "", "", "graph LR")], "_k int, src string, dst string, line string")
+    return head.unionByName(rows).orderBy("_k", "src", "dst").select("line")
+
+
 def shipped_pictures(refs: DataFrame, attachments: DataFrame) -> DataFrame:
-    """``src`` of each picture with the attachment it means: by flattened path, else by base name (the first one)."""
+    """``archive, src`` of each picture with the attachment ``member`` it means: by flattened path, else by base name (the first one).
+
+    refs: ``archive, src``; attachments: ``archive, member, path`` as archives are unpacked.
+    """
     flat = lambda c: F.regexp_replace(F.array_join(F.filter(F.split(T.url_decode(F.regexp_replace(c, "[?#].*$", "")), "[/\\\\]+"), lambda p: ~p.isin("", ".", "..")), "-"), "^-+", "")
     base = lambda c: F.regexp_extract(c, r"([^/\\]*)$", 1)
-    one = attachments.groupBy("member").agg(F.min("member").alias("_by_path"))
-    two = attachments.groupBy(base(F.col("path")).alias("_base")).agg(F.min("member").alias("_by_name"))
-    own = refs.select("src").distinct().withColumn("_flat", flat(F.col("src"))).withColumn("_base", base(T.url_decode(F.regexp_replace("src", "[?#].*$", ""))))
-    return own.join(small(one.withColumnRenamed("member", "_flat")), "_flat", "left").join(small(two), "_base", "left").select("src", F.coalesce("_by_path", "_by_name").alias("member"))
+    one = attachments.groupBy("archive", "member").agg(F.min("member").alias("_by_path"))
+    two = attachments.groupBy("archive", base(F.col("path")).alias("_base")).agg(F.min("member").alias("_by_name"))
+    own = refs.select("archive", "src").distinct().withColumn("_flat", flat(F.col("src"))).withColumn("_base", base(T.url_decode(F.regexp_replace("src", "[?#].*$", ""))))
+    return own.join(one.withColumnRenamed("member", "_flat"), ["archive", "_flat"], "left").join(two, ["archive", "_base"], "left").select("archive", "src", F.coalesce("_by_path", "_by_name").alias("member"))

@@ -68,23 +68,24 @@ def document_title(declared: Column, first_heading: Column, file_name: Column) -
     return F.coalesce(F.when(F.trim(declared) != "", F.when(site, head).otherwise(F.trim(declared))), own, T.without_extension(file_name))
 
 
-def transliterate_text(text: str) -> str:
-    """Latin letters for any text the tables and accents cover."""
+def transliterate_text(text: str, own: dict[str, str] | None = None) -> str:
+    """Latin letters for any text the tables and accents cover; ``own`` letters come before both."""
+    letters = LETTERS | {k.lower(): v for k, v in (own or {}).items()}
     out = []
     for c in text:
-        for part in (c,) if c.lower() in LETTERS else (b for b in unicodedata.normalize("NFKD", c) if not unicodedata.combining(b)):
+        for part in (c,) if c.lower() in letters else (b for b in unicodedata.normalize("NFKD", c) if not unicodedata.combining(b)):
             low = part.lower()
-            out.append((LETTERS[low].upper() if part.isupper() else LETTERS[low]) if low in LETTERS else part)
+            out.append((letters[low].upper() if part.isupper() else letters[low]) if low in letters else part)
     return "".join(out)
 
 
-def transliterate(df: DataFrame, col: Column) -> Column:
+def transliterate(df: DataFrame, col: Column, own: dict[str, str] | None = None) -> Column:
     """``transliterate_text`` as a vectorised function (Spark has no Unicode normalisation)."""
     ship(df.sparkSession)
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else transliterate_text(t))
+        return s.map(lambda t: None if t is None else transliterate_text(t, own))
 
     return run(col)
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkweft.functions import text as T
+from inkweft.sources.store import Store
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 # Names that stay in the base's folder though they look like documents.
@@ -21,13 +22,13 @@ KEEP = [
 ]
 
 
-def file_name(path="path"):
+def file_name(path: Column | str = "path") -> Column:
     return F.url_decode(F.replace(F.regexp_extract(path, r"([^/]*)$", 1), F.lit("+"), F.lit("%2B")))
 
 
-def scan_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+def scan_files(spark: SparkSession, path: str, glob: str = "*", deep: bool = True) -> DataFrame:
     """``name, path, mtime, size, content, sha1``; with only name and size selected no content is read."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(deep).lower()).load(path)
     return raw.select(file_name().alias("name"), "path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"), "content", F.sha1("content").alias("sha1"))
 
 
@@ -45,12 +46,10 @@ def collect_dropped(dropped: DataFrame, originals: DataFrame, keep: list[str] |
 
 def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     """``name, body`` of the markdown documents of a base, and of the descriptions of its pictures."""
-    from pyspark.errors import AnalysisException
-
     parts = []
     for glob, folder in (("*.md", "text"), ("descriptions.md", "assets")):
         try:
-            raw = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(f"{root}/{folder}").select(F.col("value").alias("body"), F.input_file_name().alias("path"))
+            raw = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(f"{root}/{folder}", wholetext=True).select(F.col("value").alias("body"), F.input_file_name().alias("path"))
         except AnalysisException:
             continue
         name = file_name() if folder == "text" else F.concat(F.lit("assets/"), F.regexp_extract("path", r"([^/]*)/[^/]*$", 1), F.lit("/descriptions.md"))
@@ -60,35 +59,49 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
 
 def scan_cards(spark: SparkSession, root: str) -> DataFrame:
     """``topic, card, text`` of cards in two levels of folders."""
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(f"{root}/cards").select(F.col("value").alias("text"), F.input_file_name().alias("path"))
+    raw = spark.read.option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").text(f"{root}/cards", wholetext=True).select(F.col("value").alias("text"), F.input_file_name().alias("path"))
     parts = F.split("path", "/")
     return raw.select(F.element_at(parts, -2).alias("topic"), F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1)).alias("card"), "text")
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON table, leniently: a missing or broken file is an empty table, unknown fields are ignored."""
+    """A JSON table, leniently: a missing path is an empty table, broken files give no rows, unknown fields are ignored."""
     try:
-        df = spark.read.schema(schema + ", _bad string").option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-        return spark.createDataFrame(df.cache().where("_bad is null").drop("_bad").collect(), schema) if df.limit(1).count() else spark.createDataFrame([], schema)
-    except Exception:  # noqa: BLE001 - lenient by definition
+        return spark.read.schema(schema).option("multiLine", "true").option("mode", "DROPMALFORMED").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
+CASE_JSON = "document string, anchors array<struct<fact: string, document: string, why: string>>, questions array<struct<question: string, answer: array<string>, absent: boolean>>"
+
+
+def scan_json_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(questions ``file, question, answer, absent``; facts ``file, fact, document, why``; broken ``file``) of self-test
+    cases in JSON.  A fact without a document is one of the file's document; a file that can't be read is broken."""
+    raw = spark.read.text(path, wholetext=True).select(file_name(F.input_file_name()).alias("file"), F.from_json("value", CASE_JSON + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("c"))
+    good = raw.where("c is not null and c._bad is null")
+    questions = good.select("file", F.explode("c.questions").alias("q")).select("file", "q.question", F.coalesce("q.answer", F.array().cast("array<string>")).alias("answer"), F.coalesce("q.absent", F.lit(False)).alias("absent"))
+    facts = good.select("file", "c.document", F.explode("c.anchors").alias("a")).select("file", "a.fact", F.coalesce("a.document", "document").alias("document"), "a.why")
+    return questions, facts, raw.where("c is null or c._bad is not null").select("file")
+
+
 def scan_cases(spark: SparkSession, path: str) -> DataFrame:
     """``file, pos, line`` of self-test cases in the line format."""
-    raw = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), F.col("value"))
+    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value"))
     return raw.select(file_name().alias("file"), F.posexplode(T.lines(F.col("value"))).alias("pos", "line"))
 
 
-def language_files(folder: str) -> dict[str, dict]:
+def language_files(spark: SparkSession, folder: str) -> dict[str, dict]:
     """Stop words and letters of further languages, one small JSON file each; a broken file is left out."""
-    out = {}
-    for f in sorted(Path(folder).glob("*.json")) if Path(folder).is_dir() else []:
+    out, store = {}, Store(spark, folder)
+    for name in (n for n in store.names() if n.endswith(".json")):
         try:
-            data = json.loads(f.read_text(encoding="utf-8"))
-        except (OSError, ValueError):
+            data = json.loads(store.read(name) or "")
+        except ValueError:
             continue
         if isinstance(data, dict):
-            words = data.get("stopwords", [])
-            out[f.stem] = {"stopwords": words.split() if isinstance(words, str) else [str(w) for w in words], "transliterate": {str(k): str(v) for k, v in dict(data.get("transliterate", {})).items()}}
+            words, letters = data.get("stopwords", []), data.get("translit", data.get("transliterate", {}))
+            out[name[:-5]] = {"stopwords": words.split() if isinstance(words, str) else [str(w) for w in words], "letters": {str(k): str(v) for k, v in dict(letters).items()}}
     return out

@@ -56,8 +56,9 @@ def test_relink_edges_missing_and_idempotence(spark):
 
 
 def test_pictures_and_nodes(spark):
-    refs = spark.createDataFrame([("download/attachments/7/a%20b.png?v=1",), ("x/only.png",), ("none.png",)], "src string")
-    att = spark.createDataFrame([("download-attachments-7-a b.png", "download/attachments/7/a b.png"), ("y-only.png", "y/only.png")], "member string, path string")
+    refs = spark.createDataFrame([("z", "download/attachments/7/a%20b.png?v=1"), ("z", "x/only.png"), ("z", "none.png")], "archive string, src string")
+    att = spark.createDataFrame([("z", "download-attachments-7-a b.png", "download/attachments/7/a b.png"), ("z", "y-only.png", "y/only.png")], "archive string, member string, path string")
     assert {r.src: r.member for r in L.shipped_pictures(refs, att).collect()} == {"download/attachments/7/a%20b.png?v=1": "download-attachments-7-a b.png", "x/only.png": "y-only.png", "none.png": None}
     edges = spark.createDataFrame([("a b.md", "c.md")], "src string, dst string")
     assert {r.node for r in L.graph_nodes(edges).collect()} == {"a_b_md", "c_md"}
+    assert [r.line for r in L.graph_text(edges).collect()] == ["graph LR", '  a_b_md["a b"] --> c_md["c"]']

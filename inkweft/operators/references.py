@@ -7,7 +7,9 @@ ever collected.
 
 A key may hold a third of all rows.  Therefore a key's stream is cut into time segments (days): the largest
 end of earlier segments is carried into each segment by a first pass over pre-aggregated rows, one per key
-and day, after which the segments of one key merge independently of each other.
+and day, after which the segments of one key merge independently of each other.  A segment with more references
+than ``HOT`` (a bulk load, or references without a time, which all fall on the earliest day) is dealt to parts by
+hash; each part merges with the segment's parent rows, of which it gets a copy.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweft.functions.urls import canonical_url, plain_id, url_host
-from inkweft.runtime import small
+from inkweft.runtime import small, stored
 
+#: References of one key and day from which on they are dealt to parts of about this size.
+HOT = 500_000
 _FAR = "timestamp'9999-12-31 00:00:00'"
 _EARLY = "timestamp'0001-01-02 00:00:00'"
 
@@ -46,18 +50,28 @@ def reference_status(refs: DataFrame, parents: DataFrame) -> DataFrame:
     ).withColumn("_day", day(F.col("_at")))
 
     # First pass: one row for each key and day, whatever the number of rows behind it.
-    days = own.groupBy("_key", "_day").agg(F.max("_end").alias("_end"), F.min("_at").alias("_first")).unionByName(
-        ref.select("_key", "_day").distinct(), allowMissingColumns=True
-    ).groupBy("_key", "_day").agg(F.max("_end").alias("_end"), F.min("_first").alias("_first"))
+    days = stored(
+        own.groupBy("_key", "_day").agg(F.max("_end").alias("_end"), F.min("_at").alias("_first"))
+        .unionByName(ref.groupBy("_key", "_day").agg(F.count("*").alias("_n")), allowMissingColumns=True)
+        .groupBy("_key", "_day").agg(F.max("_end").alias("_end"), F.min("_first").alias("_first"), F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"))
+    )
     before = Window.partitionBy("_key").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     carry = days.select(
         "_key", "_day", F.max("_end").over(before).alias("_carry"), F.min("_first").over(Window.partitionBy("_key")).alias("_first")
     )
+    segment = ["_key", "_day"]
+    hot = days.where(F.col("_n") > HOT).select("_key", "_day", F.ceil(F.col("_n") / HOT).cast("int").alias("_parts"))
+    if hot.limit(1).count():
+        segment = ["_key", "_day", "_part"]
+        split = small(hot)
+        copies = lambda df: df.join(split, ["_key", "_day"], "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+        ref = ref.join(split, ["_key", "_day"], "left").withColumn("_part", F.pmod(F.xxhash64("_row", "_at"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+        own, carry = copies(own), copies(carry)
 
     # Second pass: linear merge of both streams inside each segment.
     merged = ref.withColumn("_kind", F.lit(1)).unionByName(own.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
-    run = Window.partitionBy("_key", "_day").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    merged = merged.join(carry.hint("merge"), ["_key", "_day"])
+    run = Window.partitionBy(*segment).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = merged.join(carry.hint("merge"), segment)
     seen = merged.withColumn("_until", F.greatest(F.max("_end").over(run), "_carry")).where("_kind = 1")
     status = (
         F.when(F.col("_first").isNull(), "missing")

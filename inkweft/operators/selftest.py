@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkweft.functions import text as T
-from inkweft.runtime import durable, small
+from inkweft.runtime import broadcast_parts, durable
 
 PIECE = 6
 
@@ -42,14 +42,23 @@ def parse_cases(lines: DataFrame) -> DataFrame:
     return rows.select("file", F.col("pos").alias("line"), kind.alias("kind"), asked.alias("question"), F.when(F.col("mark") == "=", F.col("rest")).alias("value"))
 
 
+def _containing(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """Rows of ``parts`` that stand in a text, for each text; never as a Cartesian product of two shuffled sides."""
+    found = [texts.join(p, F.contains(F.col(text), F.col(part))).drop(text) for p in broadcast_parts(parts)]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def anchors(facts: DataFrame, docs: DataFrame) -> DataFrame:
     """Add ``held`` to ``fact, document``: the flattened fact stands in the document, or in any if none is named."""
     said = docs.select("name", T.flat(F.col("body")).alias("_said"))
     own = facts.withColumn("_f", T.flat(F.col("fact")))
     named = own.where("document is not null").join(said, F.col("document") == F.col("name"), "left").groupBy("fact", "document").agg(F.max(F.coalesce(F.contains("_said", F.col("_f")), F.lit(False))).alias("held"))
-    # Facts are few and written by hand; documents are read once with all of them.
-    anywhere = own.where("document is null").select("fact", "document", "_f")
-    found = said.join(small(anywhere), F.contains(F.col("_said"), F.col("_f"))).select("fact").distinct().withColumn("_held", F.lit(True))
+    # Facts are few and written by hand; documents are read with as many of them as may be broadcast at once.
+    anywhere = durable(own.where("document is null").select("fact", "document", "_f"))
+    found = _containing(said.select("_said"), "_said", anywhere.select("fact", "_f"), "_f").select("fact").distinct().withColumn("_held", F.lit(True))
     free = anywhere.select("fact", "document").distinct().join(found, "fact", "left").select("fact", "document", F.coalesce("_held", F.lit(False)).alias("held"))
     return named.unionByName(free)
 
@@ -64,10 +73,9 @@ def answer_places(questions: DataFrame, hits: DataFrame, texts: DataFrame, cards
     shown = hits.join(texts, ["name", "seq"]).select("qid", T.flat(F.col("body")).alias("_t"))
     found = lambda df, name: df.groupBy("qid").agg(F.lit(True).alias(name))
     in_hits = found(each.join(shown, "qid").where(F.contains("_t", F.col("_a"))), "in_hits")
-    # Answers are few and written by hand; cards and documents are read once with all of them.
-    asked = small(durable(each))
-    in_cards = found(cards.select(T.flat(F.col("text")).alias("_t")).join(asked, F.contains(F.col("_t"), F.col("_a"))), "in_cards")
-    in_base = found(docs.select(T.flat(F.col("body")).alias("_t")).join(asked, F.contains(F.col("_t"), F.col("_a"))), "in_base")
+    asked = durable(each)
+    in_cards = found(_containing(cards.select(T.flat(F.col("text")).alias("_t")), "_t", asked, "_a"), "in_cards")
+    in_base = found(_containing(docs.select(T.flat(F.col("body")).alias("_t")), "_t", asked, "_a"), "in_base")
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     return own.join(in_hits, "qid", "left").join(in_cards, "qid", "left").join(in_base, "qid", "left").select("qid", "question", F.size("answer").alias("n_answers"), no("in_hits"), no("in_cards"), no("in_base"))
 

@@ -18,7 +18,7 @@ POINTER = r"`?(?:[\w./-]+\.md(?::\d+)?|(?<![\w]):\d+)(?:`?\s*[–-]\s*`?:?\d+)?`
 NUMBER = r"(?<![\p{L}\p{N}_.])(\d{1,3}(?:[  ]\d{3})+(?!\d)(?:[.,]\d+)?|\d+(?:[.,]\d+)?)(?U:\s)*(%|[A-Za-z]{2,12})?"
 QUOTE = r"`([^`\n]{4,80})`|«([^»\n]{4,80})»|\"([^\"\n]{4,80})\""
 CONTEXT = 90
-
+# Any number in a source, and the marker of a list item.
 _ANY_NUMBER = re.compile(r"\d{1,3}(?:[ .,]\d{3})+(?:[.,]\d+)?(?!\d)|\d+(?:[.,]\d+)?")
 _MARKER = re.compile(r"^\s*(\d+)[.)]\s", re.M)
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -34,12 +34,14 @@ def without_pointers(text: Column) -> Column:
 
 
 def number_claims(cards: DataFrame, key: str = "card", text: str = "text") -> DataFrame:
-    """``card, pos, value, unit, line``: numbers a card asserts; list markers and numbers above 12 digits are none."""
+    """``card, pos, value, unit, line``: numbers a card asserts; list markers and numbers above 12 digits are none.
+
+    pos holds the line in its upper bits and the number's place in the line in the lower 24."""
     lines = cards.select(F.col(key).alias("card"), F.posexplode(T.lines(without_pointers(card_body(F.col(text))))).alias("at", "raw"))
     line = F.regexp_replace("raw", r"^(?U:\s)*\d+[.)](?U:\s)", "")
     found = [F.regexp_extract_all(line, F.lit(NUMBER), F.lit(i)) for i in (1, 2)]
     rows = lines.select("card", "at", F.trim(line).alias("line"), F.posexplode(F.arrays_zip(found[0].alias("value"), found[1].alias("unit"))).alias("k", "n"))
-    return rows.select("card", (F.col("at") * 1000 + F.col("k")).alias("pos"), F.col("n.value").alias("value"), F.coalesce("n.unit", F.lit("")).alias("unit"), "line").where(F.length(F.replace("value", F.lit(" "), F.lit(""))) <= 12)
+    return rows.select("card", (F.shiftleft(F.col("at").cast("bigint"), 24) + F.col("k")).alias("pos"), F.col("n.value").alias("value"), F.coalesce("n.unit", F.lit("")).alias("unit"), "line").where(F.length(F.replace("value", F.lit(" "), F.lit(""))) <= 12)
 
 
 def quote_claims(cards: DataFrame, key: str = "card", text: str = "text") -> DataFrame:

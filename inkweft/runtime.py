@@ -76,6 +76,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, rows) else df.hint("merge")
 
 
+def broadcast_parts(df: DataFrame) -> list[DataFrame]:
+    """``df`` in parts each of which may be broadcast: for joins on a condition that no key can serve."""
+    n = df.count()
+    k = max(1, -(-n // BROADCAST_ROWS))
+    while k < n and not all(fits(df.where(F.pmod(F.xxhash64(*df.columns), F.lit(k)) == i)) for i in range(k)):
+        k *= 2
+    return [F.broadcast(df if k == 1 else df.where(F.pmod(F.xxhash64(*df.columns), F.lit(k)) == i)) for i in range(k)]
+
+
 _shipped: set[str] = set()
 
 

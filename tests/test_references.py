@@ -63,3 +63,13 @@ def test_urls_and_ids_of_the_base(spark):
     assert keys == [("cards", 9, "i:77"), ("docs", 1, "i:77"), ("docs", 1, "u:kb.one.example/x?pageId=5"), ("docs", 3, "i:"), ("links", 4, "u:kb.one.example/guide/p"), ("links", 4, "u:kb.one.example/guide/p"), ("links", 6, "u:kb.one.example/guide/q")]
     got = sorted(tuple(r) for r in orphan_references(docs, cards, links, registry, bases).collect())
     assert got == [("cards", "2024-01", 9, "source_id", "late"), ("docs", "2024-01", 3, "source_id", "missing"), ("links", "2024-01", 4, "url", "deleted"), ("links", "2024-01", 6, "url", "missing")]
+
+
+def test_hot_segments_are_dealt_to_parts(spark, monkeypatch):
+    """A day with a bulk of references, and references without a time, give the same in parts."""
+    from inkweft.operators import references
+
+    monkeypatch.setattr(references, "HOT", 10)
+    parents = [("a", T(2, 5), T(2, 9), 0), ("a", T(2, 12), None, 0), ("b", T(3), T(4), 0)]
+    refs = [("a", T(2, i % 24), i, "x") for i in range(60)] + [("a", None, 100 + i, "x") for i in range(25)] + [("b", T(5), 200, "x"), ("z", None, 201, "x")]
+    assert run(spark, refs, parents) == brute(refs, parents)

@@ -257,7 +257,42 @@ _PAGE = lambda u, hosts: f"case when {u} like '/%' or regexp_matches({u}, {hosts
 _HOSTS = "(select '(' || string_agg(replace(host, '.', '\\.'), '|') || ')/' from bases)"
 _SNAP = f"{_D}, e as (select page_id as name, body, synced_at, doc_no from d where page_id is not null and body is not null), s as (select name, arg_min(body, (synced_at, doc_no)) a, arg_max(body, (synced_at, doc_no)) b from e group by name)"
 _UNITS = lambda c, sign: f"select name, unnest(list_transform(flatten(list_transform(string_split(regexp_replace({c}, '\\n$', ''), chr(10)), lambda x: case when length(x) > 200 then string_split(regexp_replace(x, '([.!?:;])\\s+', '\\1' || chr(1), 'g'), chr(1)) else [x] end)), lambda u: u)) unit, {sign} n from s"
+_URL_PATH = lambda u: f"regexp_replace(regexp_replace(regexp_replace({u}, '[?#].*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*:(//)', '\\1'), '^//[^/]*', '')"
+_STEM = lambda x: f"regexp_replace({x}, '([^.])\\.[^./]*$', '\\1')"
+_SUFFIXES = "('md', 'markdown', 'rst', 'txt', 'text', 'html', 'htm', 'pdf', 'doc', 'docx')"
+#: Links with what they lead to, by page id, url and file name; no url of the tables carries a document number, so none is left to the fourth rule.
+_RESOLVED = f"""
+{_D}, l as (select distinct on (link_id) link_id, name, coalesce(label, '') as label, url from links where url is not null),
+ids as (select page_id, max(name) target from d where page_id <> '' group by 1), urls as (select {_NORM('url')} u, max(name) target from d where url <> '' group by 1),
+stems as (select key, min(name) target from (select name, unnest([{_DASH(_STEM('name'))}, {_DASH(_STEM("coalesce(source_file, '')"))}]) as key from d) where key <> '' group by 1),
+x as (select l.*, l.url in (select name from d) as here, (regexp_matches(lower(l.url), '^https?://') or (not starts_with(l.url, '#') and not regexp_matches(l.url, '^(?i:[a-z][a-z0-9+.\\-]*):') and (contains(regexp_replace(l.url, '[#?].*$', ''), '/') or lower(regexp_extract(regexp_replace(l.url, '[#?].*$', ''), '[^/.]\\.([A-Za-z0-9]+)$', 1)) in {_SUFFIXES}))) as page from l),
+y as (select x.*, case when page and not here then coalesce(i.target, u.target, n.target) end hit, case when not page or here then null when i.target is not null then 1 when u.target is not null then 2 when n.target is not null then 3 end rule
+  from x left join ids i on i.page_id = {_PAGE('x.url', _HOSTS)} left join urls u on u.u = {_NORM('x.url')} left join stems n on n.key = {_DASH(_STEM("regexp_extract(" + _URL_PATH('x.url') + ", '([^/]*)$', 1)"))}),
+res as (select link_id, name, label, url, here, page, case when hit <> name then hit end target, rule::bigint rule, coalesce(hit = name, false) as own from y)
+"""
+_TAIL = "regexp_extract(regexp_replace(" + _URL_PATH("url") + ", '/+$', ''), '([^/]*)$', 1)"
+_MISSING = f"""
+{_RESOLVED}, lost as (select url, label, {_PAGE('url', _HOSTS)} id, {_DASH(f"case when lower(regexp_extract({_TAIL}, '[^.]\\.([A-Za-z0-9]+)$', 1)) in {_SUFFIXES} then {_STEM(_TAIL)} else {_TAIL} end")} slug from res where target is null and not own and not here and page),
+keyed as (select label, coalesce(id, case when (not regexp_matches(url, '^(?i:[a-z][a-z0-9+.\\-]*):') or exists (select 1 from bases b where contains(url, b.host))) and slug <> '' and not regexp_matches(slug, '^\\d+$') then substr(slug, 1, 60) end) as key from lost),
+missing as (select key, count(distinct substr(label, 1, 60)) n_labels, count(*) n_links from keyed where key is not null group by 1)
+"""
+
+
+def _chain(x: str) -> str:
+    """Letters of the transliteration tables replaced one by one in a lower-cased SQL text, accents taken off the rest."""
+    for a, b in Q.LETTERS.items():
+        x = f"replace({x}, '{a}', '{b}')"
+    return f"strip_accents({x})"
+
+
+_SLUG = lambda t: f"regexp_replace(substr({_DASH(_chain(f'lower({t})'))}, 1, 48), '-+$', '')"
 SQL = {
+    "resolved_links": f"with {_RESOLVED} select link_id, target, rule, own as self from res",
+    "edges": f"with {_RESOLVED} select distinct name src, target dst from res where target is not null",
+    "link_stats": f"with {_RESOLVED} select count(target) linked, count(*) filter (where own) self_links, count(distinct (name, target)) filter (where target is not null) n_edges from res",
+    "missing_pages": f"with {_MISSING} select key, n_labels, n_links from missing",
+    "missing_ranked": f"with {_MISSING} select key, n_labels, n_links from missing order by n_labels desc, key limit 40",
+    "slugs": f"with {_D}, s as (select doc_no, title, {_SLUG('title')} slug from d) select doc_no, case when slug <> '' then slug when trim(title) <> '' then 'document-' || substr(sha1(trim(title)), 1, 8) else 'document' end slug from s",
     "extracted_links": """
 with m as (select original_id::varchar as name, regexp_extract_all(body, '\\[([^\\]]*)\\]\\(([^)\\s]+)\\)', 1) a, regexp_extract_all(body, '\\[([^\\]]*)\\]\\(([^)\\s]+)\\)', 2) b from originals where body is not null)
 select name, (p - 1)::bigint pos, a[p] as label, b[p] url from (select *, unnest(range(1, len(a) + 1)) p from m)

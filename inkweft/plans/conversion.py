@@ -10,26 +10,10 @@ from pyspark.sql import functions as F
 
 from inkweft.functions import text as T
 from inkweft.operators import layout as Y
-from inkweft.operators import quality as Q
 from inkweft.runtime import arrow_rows, table
 from inkweft.sources.convert import convert_files
 
 
-def _escaped(c):
-    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-
-
-def _pages(spark, sf_dir):
-    """Every titled doc as an exported web page with a bread crumb, a menu, its source id as meta data and one link."""
-    d = table(spark, sf_dir, "docs").where("frontmatter.title is not null")
-    html = F.concat(
-        F.lit("<html><head><title>"), _escaped(F.col("frontmatter.title")), F.lit(" | Site</title><meta name='ajs-page-id' content='"), F.coalesce("frontmatter.source_id", F.lit("")),
-        F.lit("'></head><body><div id='breadcrumbs'>Home</div><nav>Menu</nav><div id='main-content'><p>Number <b>"), F.col("doc_no").cast("string"),
-        F.lit("</b></p><ul><li>one<ul><li>two</li></ul></li></ul><p><a href='https://site.example/p/"), F.col("doc_no").cast("string"), F.lit("?a=1'>link</a></p></div><footer>f</footer></body></html>"),
-    )
-    return d.select(F.concat(F.col("name"), F.lit(".html")).alias("name"), html.cast("binary").alias("content"))
-
-
 _ITEM = re.compile(r"^(\s*)(?:[-*+•]|(\d+)[.)])\s+(.*)$")
 _MARK = re.compile(r"\[([^\]]*)\]\(([^)\s]*)\)|\*\*(.+?)\*\*|`([^`]+)`")
 
@@ -99,8 +83,8 @@ def _whole_pages(spark, sf_dir):
 
 
 def html_pages(spark, sf_dir):
-    done = convert_files(_pages(spark, sf_dir), ("site.example",))
-    return done.select("name", "source_id", "title", F.element_at("links", 1).alias("link"), F.size("links").cast("bigint").alias("n_links"), F.regexp_count("md", F.lit(r"(?m)^- one$|^  - two$|^Number \*\*\d+\*\*$")).cast("bigint").alias("n_blocks"))
+    """Identity and title of every doc, converted from the web page of its whole body."""
+    return convert_files(_whole_pages(spark, sf_dir), ("site.example",)).select("name", "source_id", "title", "error")
 
 
 def html_markdown(spark, sf_dir):
@@ -108,20 +92,11 @@ def html_markdown(spark, sf_dir):
     return convert_files(_whole_pages(spark, sf_dir), ("site.example",)).select("name", F.sha1(F.col("md").cast("binary")).alias("sha1"), "error")
 
 
-def layout_pages(spark, sf_dir):
-    """Documents set in two columns of words: the blocks come out column by column."""
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.posexplode(F.slice(T.tokens(F.col("text")), 1, 12)).alias("k", "text")).where("length(text) <= 24")
-    right, row, slot = F.floor(F.col("k") / 6), F.floor((F.col("k") % 6) / 3), F.col("k") % 3
-    x = F.lit(50.0) + right * 400.0 + slot * 110.0
-    placed = words.select("doc", F.lit(1).alias("page"), "text", x.alias("x0"), (x + 100.0).alias("x1"), (F.lit(100.0) + row * 12.0).alias("top"), (F.lit(110.0) + row * 12.0).alias("bottom"), F.lit(10.0).alias("size"), F.lit("Body").alias("fontname"), F.lit(None).cast("string").alias("uri"))
-    return Y.page_blocks(placed).select("doc", F.col("pos").cast("bigint"), F.length("block").cast("bigint").alias("n_chars"))
-
-
-#: Measures of the pages of layout_whole: words of a line, lines of a column, columns of a page.
+#: Measures of the pages: words of a line, lines of a column, columns of a page.
 _SLOTS, _ROWS, _COLUMNS = 3, 50, 2
 
 
-def layout_whole(spark, sf_dir):
+def layout_pages(spark, sf_dir):
     """Documents with all their words set in pages of two columns: the blocks come out page by page, column by column."""
     words = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.posexplode(T.tokens(F.col("text"))).alias("k", "text"))
     line = F.floor(F.col("k") / _SLOTS)
@@ -151,22 +126,17 @@ def identifiers(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.explode(T.identifiers(text)).alias("identifier")).groupBy("identifier").agg(F.count("*").cast("bigint").alias("n"))
 
 
-def translated_slugs(spark, sf_dir):
-    d = table(spark, sf_dir, "docs").where("frontmatter.title is not null and lang in ('de', 'fr', 'en')").select("doc_no", F.col("frontmatter.title").alias("t"))
-    return d.select("doc_no", Q.slug(Q.transliterate(d, F.col("t")), F.col("t")).alias("slug"))
-
-
-QUERIES = {f.__name__: f for f in (html_pages, html_markdown, layout_pages, layout_whole, body_sizes, repeated_headings, structural_parts, identifiers, translated_slugs)}
+QUERIES = {f.__name__: f for f in (html_pages, html_markdown, layout_pages, body_sizes, repeated_headings, structural_parts, identifiers)}
 _TOK = "regexp_extract_all(text, '[\\p{L}\\p{N}_''’]+')"
 SQL = {
     "html_pages": """
 select name || '.html' as name, case when regexp_matches(coalesce(frontmatter.source_id, ''), '^\\d+$') then frontmatter.source_id else 'd' || substr(sha1(name || '.html'), 1, 11) end source_id,
-  trim(split_part(frontmatter.title, ' | ', 1)) title, 'https://site.example/p/' || doc_no || '?a=1' link, 1::bigint n_links, 3::bigint n_blocks from docs where frontmatter.title is not null
+  case when trim(coalesce(frontmatter.title, '')) = '' then '| Site' else trim(split_part(frontmatter.title, ' | ', 1)) end title, null::varchar error from docs
 """,
     "layout_pages": f"""
-with w as (select doc_id, unnest(range(1, least(len({_TOK}), 12) + 1)) k, {_TOK} t from documents), x as (select doc_id::varchar doc, (k - 1) // 6 col, length(t[k]) n from w where length(t[k]) <= 24),
+with w as (select doc_id, unnest(range(0, len({_TOK}))) k, {_TOK} t from documents), x as (select doc_id::varchar doc, k // 3 // 50 col, length(t[k + 1]) n from w),
 b as (select doc, col, sum(n) + count(*) - 1 n_chars from x group by 1, 2)
-select doc, row_number() over (partition by doc order by col) - 1 pos, n_chars::bigint n_chars from b
+select doc, (col // 2 + 1)::bigint page, (col % 2)::bigint pos, n_chars::bigint n_chars from b
 """,
     "body_sizes": "with s as (select l_suppkey::varchar doc, round_even(l_quantity / 4, 1) body, count(*) n from lineitem group by 1, 2) select doc, body from s qualify row_number() over (partition by doc order by n desc, body) = 1",
     "repeated_headings": "with r as (select distinct fragment_id, base_key doc, heading from fragments where heading is not null), c as (select doc, heading, count(*) n from r group by 1, 2) select doc, coalesce(sum(n) filter (where n < 3), 0)::bigint n_kept, sum(n)::bigint n from c group by 1",
@@ -177,9 +147,5 @@ select link_id, case when length(x) > 160 or (length(r) > 40 and regexp_matches(
     "identifiers": """
 with x as (select (l_partkey % 900 + 100) || '-' || l_linenumber || '-' || (l_suppkey % 90 + 10) a, (l_partkey % 900 + 100) || '-' || l_linenumber b from lineitem)
 select identifier, count(*) n from (select a identifier from x union all select b from x) group by 1
-""",
-    "translated_slugs": """
-with t as (select doc_no, frontmatter.title t from docs where frontmatter.title is not null and lang in ('de', 'fr', 'en'))
-select doc_no, regexp_replace(substr(trim(regexp_replace(lower(strip_accents(replace(replace(replace(t, 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae'))), '[^a-z0-9]+', '-', 'g'), '-'), 1, 48), '-+$', '') slug from t
 """,
 }

@@ -63,12 +63,7 @@ def idf_terms(spark, sf_dir):
 
 
 def unknown_words(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), "lang").where("lang = 'en'")
-    return S.unknown_words(asked, fragment_index(spark, sf_dir), ENGLISH).select(F.col("qid").alias("item_id"), F.col("pos").cast("bigint"), "word")
-
-
-def unknown_words_whole(spark, sf_dir):
-    """The unknown words of every benchmark item in whatever language; `unknown_words` has those of the English items."""
+    """The unknown words of every benchmark item in whatever language."""
     asked, index = _asked(spark, sf_dir), fragment_index(spark, sf_dir)
     found = [S.unknown_words(q, index, settings) for q, settings in asked]
     return found[0].unionByName(found[1]).select(F.col("qid").alias("item_id"), F.col("pos").cast("bigint"), "word")
@@ -173,9 +168,28 @@ free as (select name, pos, line from o where not mark and k % 2 = 0)
 """
 _CLEAN = lambda x: f"regexp_replace(regexp_replace({x}, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '\\*{{1,3}}|`', '', 'g')"
 
+#: The hits of each item in order, and the fold that leaves out near copies of those kept before.
+_HITS = f"""
+{_INDEX}, {_QUESTIONS},
+w as (select item_id, q.token, idf, coalesce(idf, ln(1 + n)) charge from q left join terms using (token), n),
+k as (select item_id, sum(charge) budget, count(idf)::double / count(*) known from w group by item_id),
+hit as (select item_id, fragment_id, any_value(name) as name, any_value(seq) seq, any_value(b) b, sum(idf * (list_contains(b, w.token)::int + 2.0 * list_contains(h, w.token)::int)) gain, sum(list_contains(b, w.token)::int) nb, any_value(len(b)) size
+  from w join (select fragment_id, name, seq, b, h, unnest(list_distinct(list_concat(b, h))) token from f) p on p.token = w.token and idf is not null group by 1, 2),
+sc as (select item_id, fragment_id, name, seq, b, round((gain / budget + 0.4 * nb / greatest(size, 1)) * known, 9) s from hit join k using (item_id)),
+line as (select fragment_id, min(line_no) line_no from fragments group by 1),
+rk as (select sc.*, row_number() over (partition by item_id order by s desc, name, line_no, seq, fragment_id) pos from sc join line using (fragment_id)),
+fold as (
+  select item_id, pos, name, seq, s, true taken, 1 kept, [b] seen from rk where pos = 1
+  union all
+  select r.item_id, r.pos, r.name, r.seq, r.s, t.fresh, f.kept + t.fresh::int, case when t.fresh then list_append(f.seen, r.b) else f.seen end
+  from fold f join rk r on r.item_id = f.item_id and r.pos = f.pos + 1,
+    lateral (select len(list_filter(f.seen, lambda o: len(list_intersect(o, r.b)) > 0 and len(list_intersect(o, r.b)) >= 0.8 * (len(o) + len(r.b) - len(list_intersect(o, r.b))))) = 0 fresh) t
+  where f.kept < 8
+)"""
+
 QUERIES = {
     "search_benchmark": search_benchmark, "search_scores": search_scores, "token_counts": token_counts, "doc_stems": doc_stems, "idf_terms": idf_terms,
-    "unknown_words": unknown_words, "unknown_words_whole": unknown_words_whole, "closest_documents": closest_documents, "doubt_flags": doubt_flags, "passage_windows": passage_windows, "passages_found": passages_found,
+    "unknown_words": unknown_words, "closest_documents": closest_documents, "doubt_flags": doubt_flags, "passage_windows": passage_windows, "passages_found": passages_found,
     "budgeted_fragments": budgeted_fragments, "stride_sample": stride_sample, "fragment_spans": fragment_spans, "sentence_counts": sentence_counts, "chunks": chunks,
     "outline_sections": outline_sections, "titles": titles, "generated_cases": generated_cases, "eval_topk": eval_topk, "spelled_numbers": spelled_numbers, "number_forms": number_forms,
 }
@@ -192,11 +206,20 @@ hit as (select item_id, fragment_id, sum(idf * (list_contains(b, w.token)::int +
 select item_id, count(*) n_hits, round(max(s), 6) best, round(sum(s), 3) total from (select item_id, round((gain / budget + 0.4 * nb / greatest(size, 1)) * known, 9) s from hit join k using (item_id)) group by 1
 """,
     "unknown_words": f"""
-with {_INDEX}, w as (select item_id, text, unnest(range(1, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_''’]+')) + 1)) p from benchmark where lang = 'en'),
-x as (select item_id, p, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_''’]+')[p] word from w),
-y as (select item_id, p, word, {_CUT('word', 6)} token from x where length(word) >= 2 and not list_contains([{_STOP_EN}], lower(word))),
+with {_INDEX}, w as (select item_id, lang, text, unnest(range(1, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_''’]+')) + 1)) p from benchmark),
+x as (select item_id, lang, p, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_''’]+')[p] word from w),
+y as (select item_id, p, word, case when lang = 'en' then {_CUT('word', 6)} else {_CUT('word', 5)} end token from x
+  where length(word) >= 2 and not case when lang = 'en' then list_contains([{_STOP_EN}], lower(word)) else list_contains([{_STOP}], lower(word)) end),
 z as (select item_id, token, min(p) p, arg_min(word, p) word from y where token not in (select token from terms) group by 1, 2)
 select item_id, row_number() over (partition by item_id order by p) pos, word from z
+""",
+    "search_benchmark": f"with recursive {_HITS} select item_id, kept as rank, name, seq, round(s, 6) score from fold where taken",
+    "closest_documents": f"with recursive {_HITS} select item_id, row_number() over (partition by item_id order by r) place, name from (select item_id, name, min(kept) r from fold where taken group by 1, 2) qualify place <= 3",
+    "passages_found": f"""
+with {_INDEX}, win as (select fragment_id w, name, list_distinct(list_concat(b, coalesce(lead(b) over (partition by name order by seq), []))) t from f),
+tok as (select w, name, unnest(t) token from win), psg as (select fragment_id, len(b) n, unnest(b) token from f where len(b) >= 20),
+com as (select fragment_id, any_value(n) n, name, w, count(*) c from psg join tok using (token) group by fragment_id, name, w)
+select fragment_id, count(distinct name) n_docs from com where c >= 0.9 * n group by 1
 """,
     "passage_windows": f"with {_INDEX} select name, seq, len(list_distinct(list_concat(b, coalesce(lead(b) over (partition by name order by seq), [])))) n_stems from f",
     "budgeted_fragments": """

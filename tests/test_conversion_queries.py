@@ -5,7 +5,7 @@ from inkweft.plans import conversion as P
 from inkweft.sources.convert import convert_files
 
 
-def test_layout_whole_sets_every_word(spark, tmp_path):
+def test_layout_sets_every_word(spark, tmp_path):
     r = random.Random(2)
     sizes = [0, 1, 3, 149, 150, 151, 300, 301, 703]
     rows = [(i, " ".join("w" * r.randint(1, 40) for _ in range(n))) for i, n in enumerate(sizes)] + [(99, None)]
@@ -15,7 +15,7 @@ def test_layout_whole_sets_every_word(spark, tmp_path):
         words = re.findall(r"\w+", text or "")
         for at in range(0, len(words), 150):  # a column holds 50 lines of 3 words, a page 2 columns
             want.add((str(i), at // 300 + 1, at % 300 // 150, len(" ".join(words[at : at + 150]))))
-    got = P.QUERIES["layout_whole"](spark, str(tmp_path)).collect()
+    got = P.QUERIES["layout_pages"](spark, str(tmp_path)).collect()
     assert {tuple(x) for x in got} == want and len(got) == len(want)
 
 

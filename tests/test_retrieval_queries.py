@@ -10,8 +10,7 @@ def test_doubts_and_unknown_words_of_every_language(spark):
     every = {r.item_id for r in items.collect()}
     other = {r.item_id for r in items.where("lang is null or lang <> 'en'").collect()}
     assert other and {r.item_id for r in P.doubt_flags(spark, DATA).collect()} == every
-    whole, english = P.unknown_words_whole(spark, DATA).collect(), P.unknown_words(spark, DATA).collect()
-    assert {tuple(r) for r in english} <= {tuple(r) for r in whole}
+    whole = P.unknown_words(spark, DATA).collect()
     # By hand: an item of another language has a row where one of its stems is in no fragment.
     terms = {r.token for r in P.fragment_index(spark, DATA).terms.select("token").collect()}
     tokens = P.benchmark_tokens(spark, DATA).where(F.col("qid").isin(list(other))).collect()

@@ -409,7 +409,14 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, **kw) -> Dat
     so does a set with itself, so no task holds more than a part against all members of the other side.
     """
     members, links = near_duplicates(df, id_col, text_col, **kw)
-    parts = members.groupBy("set_key").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("_n"))
+    both = [F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b")]
+    parts = durable(members.groupBy("set_key").agg(F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("_n")).where("_n > 1"))
+    if not parts.limit(1).count():  # no set has more members than a part
+        one, other = members.select(F.col("_id").alias("_x"), F.col("set_key").alias("a")), members.select(F.col("_id").alias("_y"), F.col("set_key").alias("b"))
+        across = links.select("a", "b").join(one, "a").join(other, "b").where("_x <> _y")
+        copies = one.join(other, F.col("a") == F.col("b")).where("_x < _y")
+        return across.select(*both).unionByName(copies.select(*both)).distinct()
+    parts = members.select("set_key").distinct().join(parts, "set_key", "left").select("set_key", F.coalesce("_n", F.lit(1)).alias("_n"))
     ends = links.select("a", "b").unionByName(parts.where("_n > 1").select(F.col("set_key").alias("a"), F.col("set_key").alias("b"))).join(parts.withColumnRenamed("set_key", "a"), "a")
     ends = ends.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_part"))
     dealt = members.join(parts, "set_key").select(F.col("_id").alias("_x"), F.col("set_key").alias("a"), F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int").alias("_part"), "_n")
@@ -419,7 +426,6 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, **kw) -> Dat
     # A set of one part has a bounded number of pairs.
     own = dealt.where("_n = 1")
     near = own.join(own.select(F.col("_x").alias("_y"), "a"), "a").where("_x < _y")
-    both = [F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b")]
     return far.select(*both).unionByName(near.select(*both)).distinct()
 
 

@@ -98,10 +98,15 @@ def save_index(index: Index, path: str, settings: Settings) -> None:
 def load_index(spark: SparkSession, path: str, settings: Settings) -> Index | None:
     """The saved index, or None if there is none for these settings."""
     root = f"{path}/{settings_key(settings)}"
-    try:
-        own = {k: spark.read.parquet(f"{root}/{k}") for k in ("fragments", "terms", "titles", "texts", "postings")}
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    def read(kind: str) -> DataFrame | None:
+        try:
+            return spark.read.parquet(f"{root}/{kind}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
+    own = {k: read(k) for k in ("fragments", "terms", "titles", "postings")}
+    if any(df is None for df in own.values()):
         return None
-    return Index(own["fragments"], own["terms"], own["titles"], own["texts"], own["fragments"].count(), own["postings"])
+    return Index(own["fragments"], own["terms"], own["titles"], read("texts"), own["fragments"].count(), own["postings"])

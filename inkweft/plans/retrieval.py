@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,9 @@ from inkweft.functions import text as T
 from inkweft.functions.language import number_words
 from inkweft.operators import evaluate as E
 from inkweft.operators import search as S
-from inkweft.operators.index import Index, build_index, index_fragments
+from inkweft.operators.index import Index, build_index, index_fragments, load_index, save_index
 from inkweft.operators.sections import document_titles, fragments, outline
-from inkweft.runtime import table
+from inkweft.runtime import shared_folder, table
 
 ENGLISH = Settings(languages=("en",))
 
@@ -44,6 +46,14 @@ def search_benchmark(spark, sf_dir):
     return hits.select(F.col("qid").alias("item_id"), "rank", "name", "seq", F.round("score", 6).alias("score"))
 
 
+def search_saved(spark, sf_dir):
+    """The same from an index that was written: only the buckets of the items' words are read."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    save_index(fragment_index(spark, sf_dir), path, FOUR)
+    hits = S.search_tokens(benchmark_tokens(spark, sf_dir), load_index(spark, path, FOUR), FOUR)
+    return hits.select(F.col("qid").alias("item_id"), "rank", "name", "seq", F.round("score", 6).alias("score"))
+
+
 def search_scores(spark, sf_dir):
     scored = S.score_tokens(benchmark_tokens(spark, sf_dir), fragment_index(spark, sf_dir), FOUR)
     return scored.groupBy(F.col("qid").alias("item_id")).agg(F.count("*").cast("bigint").alias("n_hits"), F.round(F.max("score"), 6).alias("best"), F.round(F.sum("score"), 3).alias("total"))
@@ -188,7 +198,7 @@ fold as (
 )"""
 
 QUERIES = {
-    "search_benchmark": search_benchmark, "search_scores": search_scores, "token_counts": token_counts, "doc_stems": doc_stems, "idf_terms": idf_terms,
+    "search_benchmark": search_benchmark, "search_saved": search_saved, "search_scores": search_scores, "token_counts": token_counts, "doc_stems": doc_stems, "idf_terms": idf_terms,
     "unknown_words": unknown_words, "closest_documents": closest_documents, "doubt_flags": doubt_flags, "passage_windows": passage_windows, "passages_found": passages_found,
     "budgeted_fragments": budgeted_fragments, "stride_sample": stride_sample, "fragment_spans": fragment_spans, "sentence_counts": sentence_counts, "chunks": chunks,
     "outline_sections": outline_sections, "titles": titles, "generated_cases": generated_cases, "eval_topk": eval_topk, "spelled_numbers": spelled_numbers, "number_forms": number_forms,
@@ -214,6 +224,7 @@ z as (select item_id, token, min(p) p, arg_min(word, p) word from y where token
 select item_id, row_number() over (partition by item_id order by p) pos, word from z
 """,
     "search_benchmark": f"with recursive {_HITS} select item_id, kept as rank, name, seq, round(s, 6) score from fold where taken",
+    "search_saved": f"with recursive {_HITS} select item_id, kept as rank, name, seq, round(s, 6) score from fold where taken",
     "closest_documents": f"with recursive {_HITS} select item_id, row_number() over (partition by item_id order by r) place, name from (select item_id, name, min(kept) r from fold where taken group by 1, 2) qualify place <= 3",
     "passages_found": f"""
 with {_INDEX}, win as (select fragment_id w, name, list_distinct(list_concat(b, coalesce(lead(b) over (partition by name order by seq), []))) t from f),

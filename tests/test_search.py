@@ -145,3 +145,15 @@ def test_index_is_saved_and_loaded(spark, base, tmp_path):
     assert load_index(spark, str(tmp_path), Settings(languages=("de",))) is None
     empty = build_index(spark.createDataFrame([], "name string, body string"), SET)
     assert S.search(spark.createDataFrame([(1, "refund")], "qid int, question string"), empty, SET).count() == 0
+
+
+def test_saved_postings_are_read_by_bucket(spark, base, tmp_path):
+    """A question's words name the buckets; the plan prunes the others, and the hits are those of the index in memory."""
+    save_index(base[0], str(tmp_path / "ix"), SET)
+    index = load_index(spark, str(tmp_path / "ix"), SET)
+    q = spark.createDataFrame([(1, "refund receipt"), (2, "hotel approval")], "qid int, question string")
+    plan = S.score_fragments(q, index, SET)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    keep = lambda df: sorted((r.qid, r.rank, r.name, r.seq, r.score) for r in df.collect())
+    assert keep(S.search(q, index, SET)) == keep(S.search(q, base[0], SET))
+    assert load_index(spark, str(tmp_path / "none"), SET) is None

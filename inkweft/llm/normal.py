@@ -200,7 +200,8 @@ def _once(text: str) -> str:
     plain, to_latin, to_cyrillic, odd, others, mixed, word, alike, rare, latin_looking = _compiled()
     chars = set(text)
     if not chars.isdisjoint(odd):
-        text = plain(text)
+        # No cluster goes beyond its line, so lines without such a character are left alone.
+        text = "\n".join(x if odd.isdisjoint(x) else plain(x) for x in text.split("\n"))
         chars = set(text)
     if chars.isdisjoint(others):  # nothing that could stand for a letter of another script
         return text

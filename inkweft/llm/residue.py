@@ -16,6 +16,7 @@ Three tests on the normal form of a text and its file name:
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -125,32 +126,41 @@ def placeholders(lines: list[str], grammar: re.Pattern = PLACEHOLDER) -> list[st
     return [p for p in left if told[p][1] <= told[p][0]]
 
 
-def fit_filler(df: DataFrame, id_col: str, body_col: str, sample: int = 20_000) -> frozenset[str]:
+def fit_filler(df: DataFrame, id_col: str, body_col: str) -> frozenset[str]:
     """Words that keep the company of "lorem ipsum": of the paragraphs that hold them at least a fifth hold both.
 
-    Fitted on at most about ``sample`` texts that hold "lorem" at all and as many others, chosen by a hash of their id.
+    Every text is counted.  A word is learned only if it stands beside both at least five times, so the texts that
+    hold both name the words to count, and only those are looked for in all texts.
     """
-    body = F.lower(F.col(body_col))
-    seeded = F.contains(body, F.lit("lorem"))
-    own = df.select(F.col(id_col).alias("_id"), F.col(body_col).alias("_body"), F.coalesce(seeded, F.lit(False)).alias("_seeded")).where("_body is not null")
-    n = {r._seeded: r.n for r in own.groupBy("_seeded").agg(F.count("*").alias("n")).collect()}
-    if not n.get(True):
-        return frozenset()
-    share = F.when(F.col("_seeded"), 1_000_000.0 * sample / n[True]).otherwise(1_000_000.0 * sample / max(n.get(False, 0), 1))
+    own = df.select(F.col(body_col).alias("_body")).where("_body is not null")
+    low = F.lower("_body")
 
-    def count(batch: pa.RecordBatch) -> pa.Table:
-        seen: dict[str, list[int]] = {}
+    def beside(batch: pa.RecordBatch) -> pa.Table:
+        seen: Counter = Counter()
         for text in batch.column(0).to_pylist():
             for line in outside_samples(text.lower()):
                 words = set(_WORD.findall(line))
-                kind = "lorem" in words and "ipsum" in words
-                for w in words:
-                    seen.setdefault(w, [0, 0])[kind] += 1
-        return pa.table({"word": pa.array(list(seen), pa.string()), "with": pa.array([v[1] for v in seen.values()], pa.int64()), "all": pa.array([sum(v) for v in seen.values()], pa.int64())})
-
-    counts = arrow_rows(own.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share).select("_body"), count, "word string, with bigint, all bigint").groupBy("word").agg(F.sum("with").alias("with"), F.sum("all").alias("all"))
-    found = counts.where("`with` >= 5 and `with` >= 0.2 * `all`").orderBy(F.col("with").desc(), "word").limit(20_000).collect()
-    return frozenset(r.word for r in found) - _COMMON
+                if "lorem" in words and "ipsum" in words:
+                    seen.update(words)
+        return pa.table({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+
+    seeds = own.where(F.contains(low, F.lit("lorem")) & F.contains(low, F.lit("ipsum")))
+    near = {r.word: r.n for r in arrow_rows(seeds, beside, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 5").collect() if r.word not in _COMMON}
+    if not near:
+        return frozenset()
+    wanted = df.sparkSession.sparkContext.broadcast(frozenset(near))
+
+    def count(batch: pa.RecordBatch) -> pa.Table:
+        seen: Counter = Counter()
+        for text in batch.column(0).to_pylist():
+            text = text.lower()
+            if not wanted.value.isdisjoint(_WORD.findall(text)):
+                for line in outside_samples(text):
+                    seen.update(wanted.value.intersection(_WORD.findall(line)))
+        return pa.table({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64())})
+
+    every = arrow_rows(own, count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    return frozenset(r.word for r in every if 5 * near[r.word] >= r.n)
 
 
 def is_filler(line: str, learned: frozenset[str] = frozenset()) -> bool:

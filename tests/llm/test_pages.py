@@ -156,6 +156,15 @@ def test_filler_words_are_learned(spark):
     assert fit_filler(df.where("oid > 9"), "oid", "b") == frozenset() and fit_filler(df.where("false"), "oid", "b") == frozenset()
 
 
+def test_filler_words_are_counted_in_all_texts(spark):
+    """A word that stands elsewhere too often, and more words than any bound on a model would hold."""
+    other = spark.range(60_000).selectExpr("cast(id as int) as oid", "if(id % 2000 = 0, 'The desk keeps vomu.', 'The desk keeps the list.') as b")
+    many = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) + "q" for i in range(20_500)]
+    rows = [(70_000 + i, "Lorem ipsum vomu grix " + " ".join(many)) for i in range(5)]
+    got = fit_filler(other.union(spark.createDataFrame(rows, "oid int, b string")), "oid", "b")
+    assert got == {"lorem", "ipsum", "grix", *many}
+
+
 def test_talked_about_is_not_residue():
     assert residue_kinds("a.html", "\n".join(["Write {{ name }} in the template and the engine fills it in."] * 20)) == ([], 0)
     assert residue_kinds("a.html", "The text “{{ name }}” stays.") == ([], 0)

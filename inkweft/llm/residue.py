@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkweft.functions.language import STOPWORDS
-from inkweft.llm.boilerplate import DENSITY, Densities, _title_name, fit_furniture, is_web, own_lines
+from inkweft.llm.boilerplate import DENSITY, Densities, _title_name, fit_furniture_for, furniture_keys, is_web, own_lines
 from inkweft.llm.normal import normal_form
-from inkweft.runtime import arrow_rows
+from inkweft.runtime import arrow_rows, stored
 
 _NAME = r"[A-Za-z_][\w.]*"
 #: One grammar for each delimiter.
@@ -245,9 +245,13 @@ def is_error_page(text: str, source_file: str | None, densities: Densities | Non
     return strong
 
 
-def residue_kinds(source_file: str | None, body: str | None, densities: Densities | None = None, filler: Filler | None = None) -> tuple[list[str], int]:
-    """Why a record is to be excluded (empty: it isn't), and how many placeholders it has."""
-    name, text = normal_form(source_file or ""), normal_form(body or "")
+def may_be_error_page(text: str) -> bool:
+    """Whether some line is a message of its own; without one no densities make the page an error page."""
+    return any(line and all(map(is_message, _CLAUSE.split(line))) and _STRONG.search(line.lower()) for line in map(str.strip, text.split("\n")))
+
+
+def _marks(name: str, text: str, filler: Filler) -> tuple[list[str], int]:
+    """What placeholders and filler say about a record in its normal form."""
     kinds = []
     found = placeholders([name], IN_NAME)
     lines = outside_samples(text)
@@ -255,11 +259,18 @@ def residue_kinds(source_file: str | None, body: str | None, densities: Densitie
         found += placeholders(lines)
     if found:
         kinds.append("placeholder")
-    if any(map(filler or Filler(), lines)):
+    if any(map(filler, lines)):
         kinds.append("filler")
+    return kinds, len(found)
+
+
+def residue_kinds(source_file: str | None, body: str | None, densities: Densities | None = None, filler: Filler | None = None) -> tuple[list[str], int]:
+    """Why a record is to be excluded (empty: it isn't), and how many placeholders it has."""
+    text = normal_form(body or "")
+    kinds, n = _marks(normal_form(source_file or ""), text, filler or Filler())
     if is_error_page(text, source_file, densities):
         kinds.append("error page")
-    return kinds, len(found)
+    return kinds, n
 
 
 def residue(df: DataFrame, id_col: str, file_col: str, body_col: str) -> DataFrame:
@@ -267,21 +278,49 @@ def residue(df: DataFrame, id_col: str, file_col: str, body_col: str) -> DataFra
 
     density: placeholders for each thousand characters of body and file name.  Null values have no residue;
     repeated rows are reported each.  Ids keep their type.
+
+    Only web pages with a message line depend on the furniture model.  They are set aside with their text, what the
+    model says about their lines is counted in all files, and then they are settled.
     """
     context = df.sparkSession.sparkContext
-    model, learned = context.broadcast(fit_furniture(df, id_col, file_col, body_col)), context.broadcast(fit_filler(df, id_col, body_col))
+    learned = context.broadcast(fit_filler(df, id_col, body_col))
 
-    def run(batch: pa.RecordBatch) -> pa.Table:
-        densities, filler = Densities(model.value), Filler(learned.value)
-        at, why, n, density = [], [], [], []
+    def judge(batch: pa.RecordBatch) -> pa.Table:
+        filler = Filler(learned.value)
+        at, why, n, density, names, texts = [], [], [], [], [], []
         for i, (file, body) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-            kinds, count = residue_kinds(file, body, densities, filler)
-            if kinds:
+            text = normal_form(body or "")
+            kinds, count = _marks(normal_form(file or ""), text, filler)
+            aside = is_web(file) and may_be_error_page(text)
+            if not is_web(file) and is_error_page(text, file):
+                kinds.append("error page")
+            if kinds or aside:
                 at.append(i)
                 why.append(kinds)
                 n.append(count)
                 density.append(1000.0 * count / max(1, len(file or "") + len(body or "")))
-        return pa.table({"_id": batch.column(0).take(pa.array(at, pa.int64())), "kinds": pa.array(why, pa.list_(pa.string())), "n_placeholders": pa.array(n, pa.int32()), "density": pa.array(density, pa.float64())})
+                names.append(file if aside else None)
+                texts.append(text if aside else None)
+        return pa.table({"_id": batch.column(0).take(pa.array(at, pa.int64())), "kinds": pa.array(why, pa.list_(pa.string())), "n_placeholders": pa.array(n, pa.int32()), "density": pa.array(density, pa.float64()), "_file": pa.array(names, pa.string()), "_text": pa.array(texts, pa.string())})
+
+    def keys(batch: pa.RecordBatch) -> pa.Table:
+        return pa.table({"key": pa.array(sorted(set().union(*map(furniture_keys, batch.column(0).to_pylist()))), pa.string())})
 
     pages = df.select(F.col(id_col).alias("_id"), F.col(file_col).alias("_file"), F.col(body_col).alias("_body"))
-    return arrow_rows(pages, run, f"_id {pages.schema['_id'].dataType.simpleString()}, kinds array<string>, n_placeholders int, density double")
+    schema = f"_id {pages.schema['_id'].dataType.simpleString()}, kinds array<string>, n_placeholders int, density double"
+    judged = stored(arrow_rows(pages, judge, f"{schema}, _file string, _text string"))
+    wanted = [r.key for r in arrow_rows(judged.where("_text is not null").select("_text"), keys, "key string").distinct().collect()]
+    model = context.broadcast(fit_furniture_for(df, file_col, body_col, wanted) if wanted else {})
+
+    def settle(batch: pa.RecordBatch) -> pa.Table:
+        densities, at, why = Densities(model.value), [], []
+        for i, (kinds, file, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist())):
+            if text is not None and is_error_page(text, file, densities):
+                kinds.append("error page")
+            if kinds:
+                at.append(i)
+                why.append(kinds)
+        rows = pa.array(at, pa.int64())
+        return pa.table({"_id": batch.column(0).take(rows), "kinds": pa.array(why, pa.list_(pa.string())), "n_placeholders": batch.column(2).take(rows), "density": batch.column(3).take(rows)})
+
+    return arrow_rows(judged, settle, schema)

@@ -165,6 +165,13 @@ def test_filler_words_are_counted_in_all_texts(spark):
     assert got == {"lorem", "ipsum", "grix", *many}
 
 
+def test_error_pages_are_told_by_all_files(spark):
+    """Furniture on a dozen of many pages is known only if all of them are read."""
+    files = spark.range(48_000).selectExpr("cast(id as int) as oid", "if(id % 2 = 0, 'a.html', 'a.txt') as f", "if(id < 22 and id % 2 = 0, 'Zib the trove of mokk.', 'The desk keeps the list.') as b")
+    page = spark.createDataFrame([(50_000, "a.html", "Page not found\nZib the trove of mokk."), (50_001, "a.html", "Page not found\nThe desk keeps the list.")], "oid int, f string, b string")
+    assert [(r._id, r.kinds) for r in residue(files.union(page), "oid", "f", "b").collect()] == [(50_000, ["error page"])]
+
+
 def test_talked_about_is_not_residue():
     assert residue_kinds("a.html", "\n".join(["Write {{ name }} in the template and the engine fills it in."] * 20)) == ([], 0)
     assert residue_kinds("a.html", "The text “{{ name }}” stays.") == ([], 0)

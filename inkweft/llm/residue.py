@@ -245,9 +245,38 @@ def is_error_page(text: str, source_file: str | None, densities: Densities | Non
     return strong
 
 
-def may_be_error_page(text: str) -> bool:
-    """Whether some line is a message of its own; without one no densities make the page an error page."""
-    return any(line and all(map(is_message, _CLAUSE.split(line))) and _STRONG.search(line.lower()) for line in map(str.strip, text.split("\n")))
+def _own_message(line: str) -> bool:
+    """Whether a line is a message of its own."""
+    at = 0
+    while at < len(line):
+        m = _CLAUSE.search(line, at)
+        if not is_message(line[at : m.start()] if m else line[at:]):
+            return False
+        at = m.end() if m else len(line)
+    return _STRONG.search(line.lower()) is not None
+
+
+class Messages:
+    """Whether a page in its normal form has a message of its own, without which no densities make it an error page;
+    short lines, which recur, are remembered up to a bound."""
+
+    def __init__(self, most: int = 200_000):
+        self._seen, self._most = {}, most
+
+    def __call__(self, text: str) -> bool:
+        return any(map(self._line, text.split("\n")))
+
+    def _line(self, line: str) -> bool:
+        line = line.strip()
+        if not line or line[0] in "|*•-–#":
+            return False
+        if len(line) > 80:
+            return _own_message(line)
+        if line not in self._seen:
+            if len(self._seen) > self._most:
+                self._seen.clear()
+            self._seen[line] = _own_message(line)
+        return self._seen[line]
 
 
 def _marks(name: str, text: str, filler: Filler) -> tuple[list[str], int]:
@@ -279,38 +308,36 @@ def residue(df: DataFrame, id_col: str, file_col: str, body_col: str) -> DataFra
     density: placeholders for each thousand characters of body and file name.  Null values have no residue;
     repeated rows are reported each.  Ids keep their type.
 
-    Only web pages with a message line depend on the furniture model.  They are set aside with their text, what the
-    model says about their lines is counted in all files, and then they are settled.
+    Only web pages with a message line depend on the furniture model.  They are set aside, what the model says
+    about their lines is counted in all files, and then they are settled.  The normal forms are written once.
     """
     context = df.sparkSession.sparkContext
     learned = context.broadcast(fit_filler(df, id_col, body_col))
 
     def judge(batch: pa.RecordBatch) -> pa.Table:
-        filler = Filler(learned.value)
-        at, why, n, density, names, texts = [], [], [], [], [], []
-        for i, (file, body) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+        filler, messages = Filler(learned.value), Messages()
+        why, n, density, texts, aside = [], [], [], [], []
+        for file, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             text = normal_form(body or "")
             kinds, count = _marks(normal_form(file or ""), text, filler)
-            aside = is_web(file) and may_be_error_page(text)
-            if not is_web(file) and is_error_page(text, file):
+            web = is_web(file)
+            if not web and is_error_page(text, file):
                 kinds.append("error page")
-            if kinds or aside:
-                at.append(i)
-                why.append(kinds)
-                n.append(count)
-                density.append(1000.0 * count / max(1, len(file or "") + len(body or "")))
-                names.append(file if aside else None)
-                texts.append(text if aside else None)
-        return pa.table({"_id": batch.column(0).take(pa.array(at, pa.int64())), "kinds": pa.array(why, pa.list_(pa.string())), "n_placeholders": pa.array(n, pa.int32()), "density": pa.array(density, pa.float64()), "_file": pa.array(names, pa.string()), "_text": pa.array(texts, pa.string())})
+            why.append(kinds)
+            n.append(count)
+            density.append(1000.0 * count / max(1, len(file or "") + len(body or "")))
+            texts.append(None if body is None else text)
+            aside.append(web and messages(text))
+        return pa.table({"_id": batch.column(0), "kinds": pa.array(why, pa.list_(pa.string())), "n_placeholders": pa.array(n, pa.int32()), "density": pa.array(density, pa.float64()), "_file": batch.column(1), "_text": pa.array(texts, pa.string()), "_aside": pa.array(aside, pa.bool_())})
 
     def keys(batch: pa.RecordBatch) -> pa.Table:
         return pa.table({"key": pa.array(sorted(set().union(*map(furniture_keys, batch.column(0).to_pylist()))), pa.string())})
 
     pages = df.select(F.col(id_col).alias("_id"), F.col(file_col).alias("_file"), F.col(body_col).alias("_body"))
     schema = f"_id {pages.schema['_id'].dataType.simpleString()}, kinds array<string>, n_placeholders int, density double"
-    judged = stored(arrow_rows(pages, judge, f"{schema}, _file string, _text string"))
-    wanted = [r.key for r in arrow_rows(judged.where("_text is not null").select("_text"), keys, "key string").distinct().collect()]
-    model = context.broadcast(fit_furniture_for(df, file_col, body_col, wanted) if wanted else {})
+    judged = stored(arrow_rows(pages, judge, f"{schema}, _file string, _text string, _aside boolean"))
+    wanted = [r.key for r in arrow_rows(judged.where("_aside").select("_text"), keys, "key string").distinct().collect()]
+    model = context.broadcast(fit_furniture_for(judged, "_file", "_text", wanted) if wanted else {})
 
     def settle(batch: pa.RecordBatch) -> pa.Table:
         densities, at, why = Densities(model.value), [], []
@@ -323,4 +350,5 @@ def residue(df: DataFrame, id_col: str, file_col: str, body_col: str) -> DataFra
         rows = pa.array(at, pa.int64())
         return pa.table({"_id": batch.column(0).take(rows), "kinds": pa.array(why, pa.list_(pa.string())), "n_placeholders": batch.column(2).take(rows), "density": batch.column(3).take(rows)})
 
-    return arrow_rows(judged, settle, schema)
+    found = judged.where("size(kinds) > 0 or _aside").withColumn("_text", F.when(F.col("_aside"), F.col("_text"))).drop("_aside")
+    return arrow_rows(found, settle, schema)

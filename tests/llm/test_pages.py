@@ -1,6 +1,6 @@
 import random
 
-from inkweft.llm.boilerplate import furniture_flags, link_density, main_text, page_lines
+from inkweft.llm.boilerplate import _BULLET, _DIGITS, furniture_flags, link_density, main_text, page_lines, page_runs, word_runs
 from inkweft.llm.residue import Filler, fit_filler, is_filler, outside_samples, placeholders, residue, residue_kinds
 
 PAGE = """Skip to content
@@ -172,6 +172,14 @@ def test_error_pages_are_told_by_all_files(spark):
     assert [(r._id, r.kinds) for r in residue(files.union(page), "oid", "f", "b").collect()] == [(50_000, ["error page"])]
 
 
+def test_runs_of_a_page_are_those_of_its_lines():
+    rng = random.Random(9)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "Bc", "7", "42", " ", "  ", "\n", " • ", "- ", "* ", " | ", "/", " > ", ".", ":", "©", "\t", "Σ", "—", "^", "$", "_"]) for _ in range(rng.randrange(25)))
+        runs = {tuple("\n" if w in ("^", "$") else w for w in r) for x in text.split("\n") for r in word_runs(_BULLET.sub("", x.strip()))}
+        assert {r for r in page_runs(_DIGITS.sub("0", text.lower())) if r[1] != "\n"} == runs, text
+
+
 def test_talked_about_is_not_residue():
     assert residue_kinds("a.html", "\n".join(["Write {{ name }} in the template and the engine fills it in."] * 20)) == ([], 0)
     assert residue_kinds("a.html", "The text “{{ name }}” stays.") == ([], 0)

@@ -2,6 +2,7 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkweft.config import Settings
 from inkweft.operators import search as S
@@ -120,6 +121,56 @@ def test_passages_found_equals_brute_force(spark, base):
     assert got == want and want
 
 
+def test_passages_are_found_without_a_shuffle_of_pairs(spark):
+    """Common words in many fragments: pairs that share no more than a word were joined and shuffled."""
+    import random
+
+    from inkweft.operators.passages import passages_in
+
+    r = random.Random(3)
+    common, rare = [f"c{i}" for i in range(120)], [f"r{i}" for i in range(300)]
+    frags = [(f"d{d:04}" if d else None, s, r.sample(common, 24) + r.sample(rare, r.randint(0, 2))) for d in range(700) for s in range(3)]
+    frags += [(f"copy{i}", 0, [*frags[i * 7][2][:-2], "other"]) for i in range(40)] + [("short", 0, common[:19]), ("long", 0, common[:60]), ("none", 0, [])]
+    f = spark.createDataFrame(frags, "name string, seq int, body_stems array<string>")
+    passages = spark.createDataFrame([((n, s), b) for n, s, b in frags], "pid struct<name: string, seq: int>, stems array<string>")
+    found = passages_in(passages, f.select("name", "seq", F.col("body_stems").alias("stems")), SET, True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "CoGroup" in plan
+    by = {}
+    for n, s, b in sorted(frags, key=lambda x: (x[0] or "", x[1])):
+        by.setdefault(n, []).append(set(b))
+    windows = [(n, a | b) for n, own in by.items() for a, b in zip(own, own[1:] + [set()])]
+    want = {((n, s), m) for n, s, b in frags if len(b) >= 20 for m, w in windows if 10 * len(w.intersection(b)) >= 9 * len(b)}
+    rows = [((x.pid.name, x.pid.seq), x.name) for x in found.collect()]
+    assert set(rows) == want and len(rows) == len(want) > 2100 and any(p[0] != m for p, m in want)
+
+
+def test_contained_by_bits_and_one_by_one(monkeypatch):
+    import numpy as np
+
+    from inkweft.operators import passages as P
+
+    r = np.random.default_rng(2)
+    draw = lambda k, n: [np.sort(r.choice(50, n, replace=False)) for _ in range(k)]
+    p, w = draw(150, 8), draw(400, 30)
+    flat = lambda x: (np.concatenate(x).astype(np.uint16), np.concatenate([[0], np.cumsum([len(y) for y in x])]))
+    miss = r.integers(0, 3, 150)
+    want = {(i, j) for i, a in enumerate(p) for j, b in enumerate(w) if len(a) - len(np.intersect1d(a, b)) <= miss[i]}
+    for few, size, words in [(1000, 1 << 21, 1 << 16), (0, 1 << 25, 1 << 16), (0, 4000, 2)]:
+        monkeypatch.setattr(P, "FEW_WINDOWS", few), monkeypatch.setattr(P, "FEW_CHUNKS", few and 32)
+        monkeypatch.setattr(P, "BYTES", size), monkeypatch.setattr(P, "WORDS", words), monkeypatch.setattr(P, "PAIRS", size)
+        a, b = P.contained(*flat(p), miss, *flat(w), 50)
+        assert set(zip(a.tolist(), b.tolist())) == want and len(a) == len(want) > 100
+
+
+def test_rows_with_one_key_are_left_once(spark):
+    from inkweft.runtime import once
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c"), (None, "c"), (3, None)], "k int, v string")
+    left = once(rows, "k")
+    assert sorted((tuple(x) for x in left.collect()), key=str) == sorted([(1, "a"), (2, "b"), (None, "c"), (3, None)], key=str)
+
+
 def test_doubts(spark, base):
     index, _ = base
     q = spark.createDataFrame([(1, "refund paid receipt parcel buyer days"), (2, "xylophone"), (3, "travel claims receipt signature paid monthly"), (4, "zeppelin balloon above the night sky")], "qid int, question string")

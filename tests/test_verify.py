@@ -5,6 +5,7 @@ from inkweft.operators import evaluate as E
 from inkweft.operators import history as H
 from inkweft.operators import selftest as ST
 from inkweft.operators import verify as V
+from inkweft.operators.index import build_index
 
 SET = Settings(languages=("en",))
 
@@ -73,3 +74,26 @@ def test_selftest(spark):
     assert [r.outcome for r in ST.outcomes(q).orderBy("question").collect()] == ["broken", "honest", "confident", "search", "card", "dangerous", "missing"]
     was, now = (spark.createDataFrame(x, "question string, outcome string") for x in ([("a", "search"), ("b", "card"), ("c", "card")], [("a", "search"), ("b", "missing"), ("d", "search")]))
     assert {tuple(r) for r in ST.changed_outcomes(was, now).collect()} == {("b", "card", "missing"), ("c", "card", None), ("d", None, "search")}
+
+
+def test_cases_never_carry_texts_with_each_word(spark):
+    """Each word had its fragment's text with it, and the texts were shuffled again for their markers."""
+    docs = [(f"d{i}.md", f"# Topic {i}\n\n" + " ".join(f"Sentence {k} about subject{i}x{k} tells of matter{k} and detail{i + k} here." for k in range(6))) for i in range(6)]
+    index = build_index(spark.createDataFrame(docs, "name string, body string"), SET)
+    cases = E.generate_cases(index, SET, 5)
+    assert "Generate" not in cases._jdf.queryExecution().optimizedPlan().toString()
+    idf = {r.token: r.idf for r in index.terms.collect()}
+    told = {r.fid: r for r in E._telling(index).collect()}
+    for f in index.fragments.collect():
+        order = sorted(f.body_stems, key=lambda t: (idf[t], t.encode()), reverse=True)
+        r = told[f.fid]
+        assert (list(r.asked), r.n) == (order[1:7], len(order)) and abs(r.weight - sum(idf[t] for t in order)) < 1e-8
+
+
+def test_hits_and_not_texts_are_sent_round(spark):
+    """Whether a case is found: the texts were shuffled to meet a few hits."""
+    index = build_index(spark.createDataFrame([("a.md", "# A\n\nThe marker stands in this sentence.")], "name string, body string"), SET)
+    hits = spark.createDataFrame([(1, 1, "a.md", 0)], "qid int, rank int, name string, seq int")
+    cases = spark.createDataFrame([(1, "marker stands", "a.md")], "qid int, marker string, file string")
+    row = E.evaluate(cases, hits, index.texts)
+    assert "strategy=broadcast" in row._jdf.queryExecution().optimizedPlan().toString() and row.first().at1 == 1

@@ -180,6 +180,21 @@ def test_doubts(spark, base):
     assert rows[4].weak
 
 
+def test_only_the_best_hits_leave_the_fragments(spark):
+    """All pairs of question and fragment were shuffled; of each batch only those among the best are left, ties too."""
+    docs = [(f"d{i:04}.md", f"# Page {i % 7}\n\nAlpha {'beta ' * (i % 3)} word{i % 11} gamma{i % 5}, something else number{i}.") for i in range(900)]
+    index = build_index(spark.createDataFrame(docs, "name string, body string").coalesce(1), SET)
+    q = spark.createDataFrame([(1, "alpha beta word3"), (2, "gamma2 alpha page"), (3, "number77"), (4, "nothing known")], "qid int, question string")
+    every = {(r.qid, r.fid): r.score for r in S.score_fragments(q, index, SET).collect()}
+    best = S._best_scores(S.question_weights(S.question_tokens(q, SET), index).where("idf is not null"), index, SET, 20)
+    assert "Join" not in best._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.qid, r.fid): r.score for r in best.collect()}
+    assert len(got) < len(every) / 2 and all(every[k] == v for k, v in got.items())
+    for k in {k for k, _ in every}:
+        own = sorted((v for (a, _), v in every.items() if a == k), reverse=True)
+        assert {x for x, v in every.items() if x[0] == k and v >= own[min(20, len(own)) - 1]} <= set(got)
+
+
 def test_spans_and_settling(spark):
     points = spark.createDataFrame([("a", 1), ("a", 5), ("a", 9), ("b", 1)], "name string, at int")
     starts = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("a", 8, "z")], "name string, start int, label string")
